@@ -8,8 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.functions.storage import table
+from textloom.llm.leakage import leaked_items, leaks
+from textloom.llm.near_duplicates import near_duplicate_groups, near_duplicates, similar_pairs
 from textloom.llm.shared_spans import shared_spans
 
+#: What a near-duplicate is for ``p4_found``: at least 0.6 of the three-word runs in common.
+FOUND = {"threshold": 0.6, "shingle": 3, "min_words": 20}
+
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shared_spans(table(spark, sf_dir, "documents"))
@@ -25,9 +30,31 @@ def p2_shared_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     return every.withColumn("shared_share", F.when(F.col("n_chars") > 0, F.col("shared_chars") / F.col("n_chars")).otherwise(0.0))
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_pairs(*near_duplicates(table(spark, sf_dir, "documents"), **FOUND))
+
+
+def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents at the usual measure: five-word runs, similarity 0.8."""
+    return near_duplicate_groups(*near_duplicates(table(spark, sf_dir, "documents")))
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaked_items(leaks(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents")))
+
+
+def p6_partial_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items and documents with a run of at most two edits, and how many of the item's runs match."""
+    return leaks(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": p2_found,
     "p2_shared_share": p2_shared_share,
+    "p4_found": p4_found,
+    "p4_groups": p4_groups,
+    "p6_found": p6_found,
+    "p6_partial_leaks": p6_partial_leaks,
 }
 
 SQL: dict[str, str] = {}
