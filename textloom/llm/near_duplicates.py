@@ -9,7 +9,7 @@ Method: binary fingerprints in a hierarchical index in Gray order (see ``gray_in
    threshold gives, so about three in a million pairs at the threshold are lost by it.
 3. The first level of the index factors out masked patterns: the bits of one band of ``ROWS``
    min-hashes, once for each of ``BANDS`` masks. Classes at similarity s share at least one of these nodes with
-   probability 1-(1-s^ROWS)^BANDS: 0.9996 at 0.6, more above. Below each such node the fingerprints
+   probability 1-(1-s^ROWS)^BANDS: 0.99996 at 0.6, more above. Below each such node the fingerprints
    are sorted by Gray rank, upper nodes keep shared bit patterns, and whole groups are pruned by
    accumulated differences.
 4. A node with very many classes is found from a sample (which decides only how the work is split), cut
@@ -36,7 +36,7 @@ from textloom.functions.vectext import BASE, U, Words, mix, powers, word_runs
 from textloom.llm.common import buckets, per_chunk
 from textloom.llm.gray_index import GrayIndex, gray_order, gray_rank, hamming_join, join_groups
 
-BANDS, ROWS, BITS = 32, 3, 128
+BANDS, ROWS, BITS = 42, 3, 128
 #: One class in so many is looked at to find patterns that very many classes share.
 SAMPLE = 64
 #: Classes below one node from which it is cut into blocks.
