@@ -7,15 +7,33 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.functions.storage import table
+from textloom.functions.storage import materialize, table
+from textloom.llm.formatting_duplicates import copies, record_tuples
 from textloom.llm.leakage import leaked_items, leaks
 from textloom.llm.near_duplicates import near_duplicate_groups, near_duplicates, similar_pairs
+from textloom.llm.reading_level import demanding, reading_levels
+from textloom.llm.repetition import language, repetition, repetitive
 from textloom.llm.shared_spans import shared_spans
+from textloom.llm.source_mixing import mix, with_tokens
+from textloom.llm.token_budget import fit, plain_name, token_budget
 
 #: What a near-duplicate is for ``p4_found``: at least 0.6 of the three-word runs in common.
 FOUND = {"threshold": 0.6, "shingle": 3, "min_words": 20}
 
 
+def _copies(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return copies(record_tuples(table(spark, sf_dir, "documents"), table(spark, sf_dir, "text_meta")))
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _copies(spark, sf_dir)[1]
+
+
+def p1_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each record: the document kept and the number of copies."""
+    return _copies(spark, sf_dir)[0]
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shared_spans(table(spark, sf_dir, "documents"))
 
@@ -30,6 +48,16 @@ def p2_shared_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     return every.withColumn("shared_share", F.when(F.col("n_chars") > 0, F.col("shared_chars") / F.col("n_chars")).otherwise(0.0))
 
 
+def p3_token_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_budget(table(spark, sf_dir, "documents"), table(spark, sf_dir, "text_meta"), table(spark, sf_dir, "tokenizer_merges"))
+
+
+def p3_holdouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How well the models predict documents that they were not fitted on."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", plain_name(F.col("source")).alias("source"), language(F.col("lang")).alias("language"))
+    return fit(docs, table(spark, sf_dir, "tokenizer_merges"))[1]
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_pairs(*near_duplicates(table(spark, sf_dir, "documents"), **FOUND))
 
@@ -39,6 +67,15 @@ def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_groups(*near_duplicates(table(spark, sf_dir, "documents")))
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repetitive(repetition(table(spark, sf_dir, "documents"))).select("doc_id")
+
+
+def p5_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document: share of words in repeated runs, and divergence from its language."""
+    return repetition(table(spark, sf_dir, "documents"))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaked_items(leaks(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents")))
 
@@ -48,13 +85,50 @@ def p6_partial_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"))
 
 
+def _mix(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text", F.xxhash64("text").alias("h"), F.length("text").alias("n"))
+    docs = materialize(with_tokens(docs), "tokens")
+    # The copies of one text share the odds of a single one.
+    shared = docs.groupBy("h", "n").agg(F.count(F.lit(1)).alias("same"))
+    return mix(docs.join(shared, ["h", "n"]).select("doc_id", "source", "tokens", (1 / F.col("same")).alias("weight")), table(spark, sf_dir, "mix_targets"))
+
+
+def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents taken and how often, with the share that their source comes to."""
+    chosen, report = _mix(spark, sf_dir)
+    return chosen.join(F.broadcast(report.select(plain_name(F.col("source")).alias("source"), "target_share", "actual_share")), "source")
+
+
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mix(spark, sf_dir)[1]
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return demanding(reading_levels(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))).select("doc_id")
+
+
+def p8_reading_level(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document: estimated grade and surface measures."""
+    return reading_levels(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p1_found": p1_found,
+    "p1_copies": p1_copies,
     "p2_found": p2_found,
     "p2_shared_share": p2_shared_share,
+    "p3_token_budget": p3_token_budget,
+    "p3_holdouts": p3_holdouts,
     "p4_found": p4_found,
     "p4_groups": p4_groups,
+    "p5_found": p5_found,
+    "p5_repetition": p5_repetition,
     "p6_found": p6_found,
     "p6_partial_leaks": p6_partial_leaks,
+    "p7_mix": p7_mix,
+    "p7_shares": p7_shares,
+    "p8_found": p8_found,
+    "p8_reading_level": p8_reading_level,
 }
 
 SQL: dict[str, str] = {}
