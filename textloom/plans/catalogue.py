@@ -1,10 +1,6 @@
 """Every query of the core, with the SQL that checks it."""
 
-from __future__ import annotations
+from textloom.plans import search_queries  # noqa: F401
+from textloom.plans.registry import QUERIES, SQL
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+__all__ = ["QUERIES", "SQL"]
