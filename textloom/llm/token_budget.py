@@ -175,10 +175,10 @@ def pile_names(meta: DataFrame) -> DataFrame:
 
 
 def token_budget(docs: DataFrame, meta: DataFrame, merges: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
-    """Totals by source, by pile_set_name, by language, by domain, by source and language, and of everything; ``slice`` says which."""
+    """Totals by source, by pile_set_name, by language, by domain, by source and language, by all four together, and of everything; ``slice`` says which."""
     rows = estimates(docs, merges, sample_docs).join(pile_names(meta), "doc_id", "left").fillna("(none)", ["pile_set_name"])
     keys = ["source", "pile_set_name", "language", "domain"]
-    sets = [("source",), ("pile_set_name",), ("language",), ("domain",), ("source", "language"), ()]
+    sets = [("source",), ("pile_set_name",), ("language",), ("domain",), ("source", "language"), tuple(keys), ()]
     out = rows.groupingSets([[F.col(k) for k in s] for s in sets], *map(F.col, keys))
     out = out.agg(F.grouping_id().alias("g"), F.count(F.lit(1)).alias("n_docs"), F.coalesce(F.sum("n_bytes"), F.lit(0)).alias("n_bytes"), F.coalesce(F.sum("milli_tokens"), F.lit(0)).alias("milli"))
     name = F.lit(None).cast("string")
