@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 
 #: Rows that one call of a grouped Python function should get; groups are made so many that this holds.
 BUCKET_ROWS = 40_000
@@ -17,7 +17,7 @@ def batches(batch: pa.RecordBatch, column: str, size: int) -> Iterator[pa.Record
     lens = batch.column(column)
     import pyarrow.compute as pc
 
-    n = pc.fill_null(pc.utf8_length(lens), 0).to_numpy(zero_copy_only=False)
+    n = pc.fill_null(pc.utf8_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     lo, total = 0, 0
     for i, x in enumerate(n):
         if total and total + x > size:
@@ -41,12 +41,23 @@ def per_chunk(f: Callable[[pa.RecordBatch], pa.RecordBatch | None], column: str
     return run
 
 
-def buckets(rows: int, most: int = BUCKET_ROWS) -> int:
-    return max(1, -(-rows // most))
+def pick(df: DataFrame, *names: str) -> DataFrame:
+    """The named columns, whatever others there are; names are matched exactly first, so ``Text`` beside ``text`` is no clash."""
+    at: dict[str, int] = {}
+    for n in names:
+        exact = [i for i, c in enumerate(df.columns) if c == n]
+        near = exact or [i for i, c in enumerate(df.columns) if c.lower() == n.lower()]
+        if not near:
+            raise ValueError(f"no column {n}")
+        at[n] = near[0]
+    if len({c.lower() for c in df.columns}) == len(df.columns):
+        return df.select(*names)
+    by = {i: n for n, i in at.items()}
+    return df.toDF(*(by.get(i, f"_other{i}") for i in range(len(df.columns)))).select(*names)
 
 
-def spread(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def buckets(rows: int, most: int = BUCKET_ROWS) -> int:
+    return max(1, -(-rows // most))
 
 
 def runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -58,7 +69,3 @@ def runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     r, a = np.nonzero(step == 1)
     _, b = np.nonzero(step == -1)
     return r, a, b
-
-
-def empty_like(df: DataFrame, schema: str) -> DataFrame:
-    return df.sparkSession.createDataFrame([], schema)

@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.functions.storage import materialize
+from textloom.llm.common import pick
 
 
 def canonical(text: Column) -> Column:
@@ -69,9 +70,10 @@ def _cell_rows(it):
 def record_tuples(docs: DataFrame, meta: DataFrame) -> DataFrame:
     """``doc_id, record``: the sorted integers of each distinct record of every document whose text has letters or digits."""
     text = canonical(F.col("text"))
+    docs, meta = pick(docs, "doc_id", "text"), pick(meta, "doc_id", "path", "metadata")
     docs = docs.where("doc_id is not null").select("doc_id", text.alias("c")).where(F.length("c") > 0).select("doc_id", F.unhex(F.sha2("c", 256)).alias("value"))
     docs = materialize(docs.distinct(), "text-values")
-    meta = meta.select("doc_id", "path", "metadata").distinct()
+    meta = meta.distinct()
     paths = meta.where("path is not null").select(F.col("path").alias("raw")).distinct().select("raw", canonical(F.col("raw")).alias("value")).where(F.length("value") > 0)
     found = meta.where("metadata is not null").select(F.col("metadata").alias("raw")).distinct().mapInArrow(_cell_rows, "raw string, field string, value string")
     found = materialize(found, "cells")

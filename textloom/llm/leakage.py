@@ -15,7 +15,7 @@ neighbouring diagonals (position in the document minus position in the piece).
 Exact matches are the case of no edits; the lemma loses none. The edits of a piece are at most
 ``edits`` and so few that at least one q-gram must be shared.
 
-Defined results: null texts and texts without words match nothing; an item listed twice counts under each id;
+Defined results: null texts, texts without words and rows without an id match nothing; an item listed twice counts under each id;
 empty tables give no rows; repeated documents with the same id give one row; further columns are ignored.
 """
 
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.functions.vectext import U, Words, code_points, gram_hash
-from textloom.llm.common import per_chunk
+from textloom.llm.common import per_chunk, pick
 
 Q = 16
 #: Characters of items that one block's table may hold; a table takes about 100 bytes for each.
@@ -66,7 +66,7 @@ class Pieces:
     """The q-gram table of some items: sorted hashes, and the (item, position) pairs of each."""
 
     def __init__(self, items: list[tuple[int, str]], run: int, edits: int, q: int = Q):
-        self.run, self.q, self.items, self.pieces, self.least, self.band = run, q, [], [], [], []
+        self.run, self.q, self.items, self.pieces, self.least, self.reach = run, q, [], [], [], []
         hashes, where = [], []
         for item_id, text in items:
             w = Words([text.lower()], hashed=False)
@@ -82,6 +82,7 @@ class Pieces:
             n = len(self.items)
             self.items.append((item_id, k))
             self.pieces.append(pieces)
+            self.reach.append(max(map(len, pieces)) + 2 + k)
             self.least.append(short - size + 1 - k * size)
             g = gram_hash(code_points(line), size)
             hashes.append(g ^ U(size))
@@ -124,7 +125,8 @@ class Pieces:
             for f, c in zip(first[m >= self.least[k[first, 0]]].tolist(), m[m >= self.least[k[first, 0]]].tolist()):
                 i, d, _ = k[f].tolist()
                 lo, hi = int(p[f : f + c].min()), int(p[f : f + c].max())
-                found[d, i].append((lo - int(self.edits[i]), hi + size + int(self.edits[i])))
+                # An edit near an end spoils all q-grams beyond it: a piece may reach further than its hits.
+                found[d, i].append((lo - self.reach[i], hi + size + self.reach[i]))
         return found
 
 
@@ -170,10 +172,10 @@ def leaks(items: DataFrame, docs: DataFrame, run: int = 13, edits: int = 2, bloc
     ``edits`` is the least over the pieces, 0 for an exact match; ``matched`` of the item's ``pieces`` match.
     Items (a bounded set: they are held-out questions, not the corpus) go to the driver a block at a time.
     """
-    items = items.select("item_id", "text").where("item_id is not null and text is not null").distinct()
+    items = pick(items, "item_id", "text").where("item_id is not null and text is not null").distinct()
     size = F.length("text") + 2
     blocks = int(items.agg(F.coalesce(F.sum(size), F.lit(0)).alias("n")).first()["n"]) // block_chars + 1
-    docs = docs.select("doc_id", "text").where("text is not null")
+    docs = pick(docs, "doc_id", "text").where("doc_id is not null and text is not null")
     schema = "item_id long, doc_id long, edits int, pieces int, matched int"
     found = None
     for b in range(blocks):

@@ -16,7 +16,7 @@ Method: binary fingerprints in a hierarchical index in Gray order (see ``gray_in
    into blocks in Gray order, and block pairs are pruned by their shared patterns before rows move.
 5. The pairs left are verified exactly on their sets of word runs.
 
-Defined results: null, empty and short texts (fewer than ``min_words`` words) take no part; an empty
+Defined results: null, empty and short texts (fewer than ``min_words`` words) and rows without ``doc_id`` take no part; an empty
 table gives no rows; rows that repeat a ``doc_id`` are one document (with several texts, it may be
 in several classes); further columns are ignored. Ties at the threshold count as similar.
 """
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions.storage import materialize
 from textloom.functions.vectext import BASE, U, Words, mix, powers, word_runs
-from textloom.llm.common import buckets, per_chunk
+from textloom.llm.common import buckets, per_chunk, pick
 from textloom.llm.gray_index import GrayIndex, gray_order, gray_rank, hamming_join, join_groups
 
 BANDS, ROWS, BITS = 42, 3, 128
@@ -229,7 +229,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, m
 
     Documents of one class have the same words in the same order. The links are between classes, a < b.
     """
-    docs = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
+    docs = pick(docs, "doc_id", "text").where("doc_id is not null and text is not null")
     min_words = max(min_words, shingle)
     members = materialize(docs.mapInArrow(_class_rows(min_words), "doc_id long, class long").distinct(), "members")
     classes = members.groupBy("class").agg(F.min("doc_id").alias("doc_id"))

@@ -21,7 +21,7 @@ meet in the same prefix group, whose key is that k-gram.
 
 Exact copies of a text count as one text in the trees and are whole spans by themselves.
 
-Defined results: null and short texts have no spans; an empty table gives no rows; rows that repeat
+Defined results: null and short texts and rows without ``doc_id`` have no spans; an empty table gives no rows; rows that repeat
 a ``doc_id`` with the same text are one document; further columns are ignored. Positions count code points.
 """
 
@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions.storage import materialize
 from textloom.functions.vectext import U, code_points, mix, powers, prefix_hash
-from textloom.llm.common import buckets, per_chunk, runs
+from textloom.llm.common import buckets, per_chunk, pick, runs
 
 #: Suffixes of one prefix beyond which the prefix is lengthened.
 GROUP_ROWS = 20_000
@@ -222,7 +222,7 @@ def shared_spans(docs: DataFrame, min_len: int = 200, k: int = 60, group_rows: i
     """
     if not 0 < k < min_len:
         raise ValueError("0 < k < min_len")
-    docs = docs.select("doc_id", "text").where(F.length("text") >= min_len).withColumns({"th": F.xxhash64("text"), "th2": F.xxhash64(F.lit(1), "text")})
+    docs = pick(docs, "doc_id", "text").where((F.length("text") >= min_len) & F.col("doc_id").isNotNull()).withColumns({"th": F.xxhash64("text"), "th2": F.xxhash64(F.lit(1), "text")})
     anchors = docs.select("doc_id", "th", "text").mapInArrow(_anchor_rows(k, min_len), "key long, th long, doc_id long, at long, lo long, hi long")
     repeated = anchors.groupBy("key").agg(F.min("th").alias("a"), F.max("th").alias("b")).where("a <> b").select("key")
     # One row for each distinct text: of copies, the smallest document stands for all.

@@ -8,7 +8,7 @@ size with unequal probabilities. u comes from a hash of the id and a seed, so a
 Per source, the driver holds totals and histograms of fixed size only; the rank at which to cut is found by two
 levels of bins, and only the rows of the last bin are ordered.
 
-Defined results: documents of null or unlisted sources are not used; a listed source without documents contributes nothing;
+Defined results: rows that repeat a ``doc_id`` are one document (the largest); rows without ``doc_id`` are not used; documents of null or unlisted sources are not used; a listed source without documents contributes nothing;
 null and empty texts have no tokens and are not used; a source that ``max_repeats`` keeps from its share gives
 everything, ``max_repeats`` times, and the others keep their proportions; null, negative and zero shares give nothing.
 Weights are taken in steps of 9 %.
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions.storage import materialize
-from textloom.llm.common import per_chunk
+from textloom.llm.common import per_chunk, pick
 from textloom.llm.token_budget import plain_name
 
 #: Where the vocabulary of a public byte-level tokenizer lies: a token and its rank in each line.
@@ -54,6 +54,7 @@ def _token_rows(vocabulary: bytes):
 
 def with_tokens(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     """``docs`` with the column ``text`` replaced by its ``tokens``. The vocabulary (under 2 MB) goes along with the function."""
+    docs = docs.drop("tokens")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text")
     return docs.mapInArrow(_token_rows(Path(tokenizer).read_bytes()), f"{fields}, tokens long")
 
@@ -114,11 +115,13 @@ def mix(docs: DataFrame, targets: DataFrame, total: int | None = None, seed: int
     spark = docs.sparkSession
     if "weight" not in docs.columns:
         docs = docs.withColumn("weight", F.lit(1.0))
+    docs, targets = pick(docs, "doc_id", "source", "tokens", "weight"), pick(targets, "source", "target_share", "max_repeats")
     goals = targets.select("source", F.coalesce("target_share", F.lit(0.0)).alias("share"), F.coalesce("max_repeats", F.lit(1)).alias("most")).orderBy("source").collect()  # a row for each source
     key = {r["source"]: r["k"] for r in targets.select("source", plain_name(F.col("source")).alias("k")).collect()}
     step = F.greatest(F.lit(-400), F.least(F.lit(400), F.round(F.log2("weight") * 8))).cast("int")
-    rows = docs.select("doc_id", plain_name(F.col("source")).alias("source"), "tokens", step.alias("step"))
-    rows = materialize(rows.where((F.col("tokens") > 0) & F.col("source").isin([*key.values()]) & (docs["weight"] > 0)), "sized")
+    rows = docs.where("doc_id is not null and tokens > 0 and weight > 0").select("doc_id", plain_name(F.col("source")).alias("source"), "tokens", step.alias("step"))
+    rows = rows.where(F.col("source").isin([*key.values()])).groupBy("doc_id").agg(F.max(F.struct("tokens", "source", "step")).alias("r")).select("doc_id", "r.*")
+    rows = materialize(rows, "sized")
     held: dict[str, list[tuple[int, int]]] = {}
     for r in rows.groupBy("source", "step").agg(F.sum("tokens").alias("n")).collect():  # sources x 801 at most
         held.setdefault(r["source"], []).append((r["step"], r["n"]))
@@ -142,6 +145,7 @@ def mix(docs: DataFrame, targets: DataFrame, total: int | None = None, seed: int
     drawn = _cut(rows.where("p > 0").select("source", "doc_id", z.alias("z"), "tokens"), need) if need else rows.select("source", "doc_id", "tokens").limit(0)
     certain = rows.where("whole > 0").select("doc_id", "source", "tokens", F.col("whole").alias("copies"))
     chosen = certain.unionByName(drawn.select("doc_id", "source", "tokens", F.lit(1).alias("copies")))
+    # A document can be in both parts.
     chosen = materialize(chosen.groupBy("doc_id", "source", "tokens").agg(F.sum("copies").cast("int").alias("copies")), "mix")
     sums = {r["source"]: r for r in chosen.groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("n"), F.count(F.lit(1)).alias("docs")).collect()}
     taken = sum(r["n"] for r in sums.values())

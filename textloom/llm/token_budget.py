@@ -10,7 +10,7 @@ white space) starts with ``▁``, is split into characters, and adjacent pieces
 
 Defined results: null and empty texts have 0 tokens; null names are "(none)", null or unusual languages "und"; several
 metadata rows of one document count once (the smallest name); repeated rows of documents count again.
-An empty table gives the single total row with zeros.
+An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions.storage import materialize
 from textloom.functions.vectext import code_points
-from textloom.llm.common import per_chunk
+from textloom.llm.common import per_chunk, pick
 from textloom.llm.repetition import language
 
 SAMPLE_DOCS, LANGUAGES, LEAST_DOCS = 1500, 16, 60
@@ -118,7 +118,7 @@ def _weights(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 def fit(docs: DataFrame, merges: DataFrame, sample_docs: int = SAMPLE_DOCS) -> tuple[dict[str, np.ndarray], DataFrame]:
     """Weights of each language, corrected on its holdout ("" is the model of all the rest), and the report of the holdouts."""
-    table = [tuple(r) for r in merges.where("left_piece is not null and right_piece is not null").select("merge_rank", "left_piece", "right_piece").collect()]
+    table = [tuple(r) for r in pick(merges, "merge_rank", "left_piece", "right_piece").where("left_piece is not null and right_piece is not null").collect()]
     ids = docs.where("length(text) > 0").select("doc_id", "language", F.xxhash64("doc_id").alias("u"))
     ids = ids.withColumn("r", F.row_number().over(Window.partitionBy("language").orderBy("u", "doc_id"))).where(F.col("r") <= sample_docs)
     ids = materialize(ids, "sample-ids")
@@ -163,7 +163,7 @@ def plain_name(name: Column) -> Column:
 
 def estimates(docs: DataFrame, merges: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
     """``doc_id, source, language, domain, n_bytes, milli_tokens`` of every row (thousandths of tokens are whole numbers, so totals don't depend on order)."""
-    docs = docs.select("doc_id", "text", plain_name(F.col("source")).alias("source"), language(F.col("lang")).alias("language"), F.coalesce("domain", F.lit("(none)")).alias("domain"))
+    docs = pick(docs, "doc_id", "text", "source", "lang", "domain").select("doc_id", "text", plain_name(F.col("source")).alias("source"), language(F.col("lang")).alias("language"), F.coalesce("domain", F.lit("(none)")).alias("domain"))
     models, _ = fit(docs, merges, sample_docs)
     return docs.mapInArrow(_estimate_rows(models), "doc_id long, source string, language string, domain string, n_bytes long, milli_tokens long")
 
@@ -171,7 +171,7 @@ def estimates(docs: DataFrame, merges: DataFrame, sample_docs: int = SAMPLE_DOCS
 def pile_names(meta: DataFrame) -> DataFrame:
     """``doc_id, pile_set_name`` of every document that has one."""
     name = F.coalesce(F.get_json_object("metadata", "$.meta.pile_set_name"), F.get_json_object("metadata", "$.pile_set_name"))
-    return meta.select("doc_id", plain_name(name).alias("pile_set_name")).where("doc_id is not null and pile_set_name <> '(none)'").groupBy("doc_id").agg(F.min("pile_set_name").alias("pile_set_name"))
+    return pick(meta, "doc_id", "metadata").select("doc_id", plain_name(name).alias("pile_set_name")).where("doc_id is not null and pile_set_name <> '(none)'").groupBy("doc_id").agg(F.min("pile_set_name").alias("pile_set_name"))
 
 
 def token_budget(docs: DataFrame, meta: DataFrame, merges: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
