@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.functions.storage import materialize
+from textloom.operators.corpus import running_total
+from textloom.operators.sequence import smaller_neighbours
 
 
 def inside(x: tuple[int, int], y: tuple[int, int], z: tuple[float, float] | None = None) -> Column:
@@ -55,3 +57,24 @@ def levels(tree: DataFrame, root: str | int, most: int = 64) -> DataFrame:
             break
         out = out.unionByName(front)
     return out
+
+
+def louds(nodes: DataFrame) -> DataFrame:
+    """``node, ix, degree`` (ix: breadth-first number from 0) -> the ``start`` and ``stop`` of each node's unary block in the level-order bit string."""
+    rows = running_total(nodes.withColumn("one", F.lit(0)), (F.col("degree") + 1).cast("long"), "ix", "start", group="one")
+    return rows.select("node", "ix", "degree", "start", (F.col("start") + F.col("degree")).alias("stop"))
+
+
+def parentheses(bits: DataFrame, block: int = 1 << 16) -> DataFrame:
+    """Balanced parentheses ``i, bit`` (1 opens) -> ``i, excess, match, enclose`` of every opening one.
+
+    The excess is a running total of +1 and -1. The parenthesis that closes position i is the next one of smaller excess; the pair that
+    encloses it opens right after the nearest smaller excess before it.
+    """
+    rows = running_total(bits.withColumn("one", F.lit(0)), (2 * F.col("bit") - 1).cast("long"), "i", "before", group="one")
+    rows = rows.select("i", "bit", (F.col("before") + 2 * F.col("bit") - 1).alias("v"))
+    near = materialize(smaller_neighbours(rows, block).select("i", "prev", "next"), "neighbours")
+    # Steps are of one, so the nearest smaller excess is v - 1, and the pair around it opens right after the one smaller than that.
+    out = rows.where("bit = 1").join(near, "i").join(near.select(F.col("i").alias("prev"), F.col("prev").alias("_p")), "prev", "left")
+    around = F.when(F.col("v") > 1, F.coalesce(F.col("_p") + 1, F.lit(0).cast("long")))
+    return out.select("i", F.col("v").alias("excess"), F.col("next").alias("match"), around.alias("enclose"))

@@ -182,3 +182,16 @@ def parents(tree: DataFrame) -> DataFrame:
         return pa.table({"shard": pa.array([t.column("shard")[0].as_py()] * len(out), pa.int64())} | {n: pa.array([r[i] for r in out], pa.int64()) for i, n in enumerate(names)})
 
     return tree.groupBy("shard").applyInArrow(f, "shard long, lb long, rb long, depth long, parent_lb long, parent_rb long, parent_depth long")
+
+
+def links(tree: DataFrame, psi: DataFrame) -> DataFrame:
+    """``shard, lb, rb, depth, link_lb, link_rb``: the node that each inner node becomes without its first byte (suffix link).
+
+    Its interval holds the suffixes that follow those at both ends, one byte less deep. Intervals of one depth are disjoint, so the join
+    by depth yields one row each. The nodes that link to a node are its Weiner links.
+    """
+    p = psi.select("shard", "rank", "psi")
+    ends = tree.where("depth > 0").join(p.select("shard", F.col("rank").alias("lb"), F.col("psi").alias("_a")), ["shard", "lb"]).join(p.select("shard", F.col("rank").alias("rb"), F.col("psi").alias("_b")), ["shard", "rb"])
+    to = tree.select("shard", F.col("lb").alias("link_lb"), F.col("rb").alias("link_rb"), F.col("depth").alias("_d"))
+    hit = ends.withColumn("_d", F.col("depth") - 1).join(to, ["shard", "_d"]).where((F.least("_a", "_b") >= F.col("link_lb")) & (F.greatest("_a", "_b") <= F.col("link_rb")))
+    return hit.select("shard", "lb", "rb", "depth", "link_lb", "link_rb")

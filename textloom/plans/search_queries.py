@@ -89,6 +89,20 @@ def find_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.find(_docs(spark, sf_dir), "the").withColumn("shard", F.col("shard").cast("long"))
 
 
+@query(f"WITH q AS (SELECT 0 AS query_id, 'eht' AS query), {_FIND.replace('hex(encode(text)) AS x', 'hex(encode(reverse(text))) AS x')} SELECT shard, lo, hi FROM f")
+def bidirectional_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The interval of a needle read backwards among the suffixes of the reversed texts; together with find, the bidirectional interval."""
+    turned = _docs(spark, sf_dir).withColumn("text", F.reverse("text"))
+    return search.find(turned, "the"[::-1]).withColumn("shard", F.col("shard").cast("long"))
+
+
+@query("SELECT doc_id, CASE WHEN substr(x, 201, 2) BETWEEN '80' AND 'BF' OR substr(x, 281, 2) BETWEEN '80' AND 'BF' THEN NULL ELSE TRY(decode(unhex(substr(x, 201, 80)))) END AS piece FROM (SELECT doc_id, hex(encode(text)) AS x FROM documents WHERE strlen(text) >= 140)")
+def extract_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes 100 to 140 of every document that has them; null if the range cuts a character."""
+    docs = _docs(spark, sf_dir).where(F.octet_length("text") >= 140)
+    return docs.select("doc_id", F.try_validate_utf8(F.substring(F.encode("text", "UTF-8"), 101, 40).cast("string")).alias("piece"))
+
+
 @query(f"WITH q AS (SELECT 0 AS query_id, 'é' AS query), {_FIND} SELECT CAST(sum(hi - lo) AS BIGINT) AS cnt, string_agg(lo || '-' || hi, ',' ORDER BY shard) AS segments FROM f")
 def find_result(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The result of find as one row: count and segments in order of shard."""

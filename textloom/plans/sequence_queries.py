@@ -221,6 +221,47 @@ def tree_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return points.levels(tree, "w").join(degree, "node", "left").fillna(0, ["degree"])
 
 
+_PLACES = """c AS (SELECT n.n_regionkey AS r, n.n_nationkey AS n, c.c_custkey AS c FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey),
+k AS (SELECT 0 AS depth, CAST(0 AS BIGINT) AS key, CAST(NULL AS BIGINT) AS up UNION ALL SELECT 1, (r_regionkey + 1) * 1000000000000, 0 FROM region
+  UNION ALL SELECT 2, (n_regionkey + 1) * 1000000000000 + (n_nationkey + 1) * CAST(1000000000 AS BIGINT), (n_regionkey + 1) * 1000000000000 FROM nation
+  UNION ALL SELECT 3, (r + 1) * 1000000000000 + (n + 1) * CAST(1000000000 AS BIGINT) + c + 1, (r + 1) * 1000000000000 + (n + 1) * CAST(1000000000 AS BIGINT) FROM c),
+z AS (SELECT depth, key, up, row_number() OVER (ORDER BY key) - 1 AS pre, CASE depth WHEN 3 THEN 1 WHEN 0 THEN (SELECT count(*) FROM k) ELSE
+  (SELECT count(*) FROM k b WHERE b.key >= a.key AND b.key < a.key + CASE a.depth WHEN 1 THEN 1000000000000 ELSE 1000000000 END) END AS size FROM k a),
+o AS (SELECT *, 2 * pre - depth AS open FROM z)"""
+
+
+def _places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``depth, key``: world, regions, nations and customers; keys are in preorder."""
+    r, n = F.lit(10**12).cast("long"), F.lit(10**9).cast("long")
+    nation = table(spark, sf_dir, "nation").select("n_nationkey", ((F.col("n_regionkey") + 1) * r + (F.col("n_nationkey") + 1) * n).alias("key"))
+    customer = table(spark, sf_dir, "customer").join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey"))
+    rows = spark.range(1).select(F.lit(0).alias("depth"), F.lit(0).cast("long").alias("key"))
+    rows = rows.unionByName(table(spark, sf_dir, "region").select(F.lit(1).alias("depth"), ((F.col("r_regionkey") + 1) * r).alias("key")))
+    rows = rows.unionByName(nation.select(F.lit(2).alias("depth"), "key"))
+    return rows.unionByName(customer.select(F.lit(3).alias("depth"), (F.col("key") + F.col("c_custkey") + 1).alias("key")))
+
+
+@query(f"WITH {_PLACES} SELECT o.open AS i, CAST(o.depth + 1 AS BIGINT) AS excess, CAST(o.open + 2 * o.size - 1 AS BIGINT) AS match, p.open AS enclose FROM o LEFT JOIN o p ON o.up = p.key")
+def parentheses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tree of places as balanced parentheses: excess, matching and enclosing positions of every node."""
+    rows = running_total(_places(spark, sf_dir).withColumn("one", F.lit(0)), F.lit(1).cast("long"), "key", "pre", group="one")
+    opened = rows.select((2 * F.col("pre") - F.col("depth")).alias("i"), F.lit(1).alias("bit"), "pre", "depth")
+    # What is not an opening position closes: a tree of n nodes has 2 n of them.
+    every = spark.range(2 * rows.count()).select(F.col("id").alias("i"))
+    return points.parentheses(every.join(opened.select("i", "bit"), "i", "left").fillna(0, ["bit"]), block=256)
+
+
+@query(f"WITH {_PLACES}, d AS (SELECT up AS key, count(*) AS degree FROM k WHERE up IS NOT NULL GROUP BY 1), b AS (SELECT k.key, coalesce(degree, 0) AS degree, row_number() OVER (ORDER BY depth, k.key) - 1 AS ix FROM k LEFT JOIN d ON k.key = d.key) SELECT key AS node, ix, CAST(degree AS BIGINT) AS degree, CAST(coalesce(sum(degree + 1) OVER (ORDER BY ix ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start, CAST(sum(degree + 1) OVER (ORDER BY ix) - 1 AS BIGINT) AS stop FROM b")
+def louds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same tree in level order: each node's block in the unary degree string."""
+    k = _places(spark, sf_dir)
+    up = F.when(F.col("depth") == 1, 0).when(F.col("depth") == 2, F.col("key") - F.col("key") % 10**12).otherwise(F.col("key") - F.col("key") % 10**9)
+    degree = k.where("depth > 0").groupBy(up.cast("long").alias("key")).agg(F.count(F.lit(1)).alias("degree"))
+    rows = k.join(degree, "key", "left").fillna(0, ["degree"]).withColumn("order", F.col("depth") * F.lit(10**14) + F.col("key")).withColumn("one", F.lit(0))
+    rows = running_total(rows, F.lit(1).cast("long"), "order", "ix", group="one", slots=64)
+    return points.louds(rows.select(F.col("key").alias("node"), "ix", "degree"))
+
+
 _BYTES = "h AS (SELECT hex(encode(text)) AS x FROM documents WHERE text IS NOT NULL), g AS (SELECT substr(x, 2 * unnest(range(0, length(x) // 2 - {k})) + 1, {w}) AS g FROM h), c AS (SELECT left(g, {c}) AS context, g, count(*) AS n FROM g GROUP BY 1, 2), t AS (SELECT context, sum(n) AS t, sum(n * log2(n)) AS s FROM c GROUP BY 1)"
 
 

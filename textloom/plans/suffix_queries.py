@@ -98,3 +98,10 @@ def tree_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
     kids = p.where("parent_lb is not null").groupBy("shard", F.col("parent_lb").alias("lb"), F.col("parent_rb").alias("rb")).agg(F.count(F.lit(1)).alias("inner"), F.sum(F.col("rb") - F.col("lb") + 1).alias("below"))
     out = p.select("shard", "lb", "rb", "depth").join(kids, ["shard", "lb", "rb"], "left").fillna(0, ["inner", "below"])
     return out.select("shard", "lb", "rb", "depth", (F.col("inner") + F.col("rb") - F.col("lb") + 1 - F.col("below")).alias("degree"))
+
+
+@query()
+def suffix_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suffix links of the inner nodes; read from right to left they are the Weiner links."""
+    s = _suffixes(spark, sf_dir)
+    return suffix.links(suffix.nodes(suffix.lcp(s)), suffix.lf_mapping(s))
