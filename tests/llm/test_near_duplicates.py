@@ -77,3 +77,10 @@ def test_fingerprints_follow_similarity():
     keys, f = n.signatures(np.concatenate([both, a, both, b]), np.array([0, 800]))
     assert abs(distance(f[0], f[1]) - n.BITS * 0.2) < 4.5 * (n.BITS * 0.2 * 0.8) ** 0.5
     assert (keys[0] == keys[1]).any()
+
+
+def test_two_texts_under_one_id(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(40)) for x in "ab")
+    docs = spark.createDataFrame([(1, a), (1, b), (2, a + " more"), (3, b + " more")], "doc_id long, text string")
+    members, links = n.near_duplicates(docs, 0.6, 3)
+    assert sorted(tuple(r) for r in n.similar_pairs(members, links).collect()) == [(1, 2), (1, 3)]

@@ -199,6 +199,17 @@ def _hot_pairs(entries: DataFrame, radius: int, hot_rows: int) -> DataFrame:
     return left.unionByName(right).groupBy("key", "p", "q").applyInArrow(_block_join(radius), "a long, b long")
 
 
+def _own_text_rows(it):
+    """Keeps texts that belong to their class: a repeated ``doc_id`` may have brought another one along."""
+    schema = pa.schema([("class", pa.int64()), ("text", pa.string())])
+
+    def f(batch: pa.RecordBatch) -> pa.RecordBatch:
+        own = classes_of(_words(batch)).view(np.int64) == batch.column("class").to_numpy()
+        return pa.RecordBatch.from_arrays([c.filter(pa.array(own)) for c in (batch.column("class"), batch.column("text"))], schema=schema)
+
+    yield from per_chunk(f)(it)
+
+
 def _verified(n: int, threshold: float):
     least = Fraction(str(threshold))
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("similarity", pa.float64())])
@@ -247,7 +258,8 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, m
         pairs = entries.groupBy("bucket").applyInArrow(_bucket_join(radius), "a long, b long")
     pairs = materialize(pairs.distinct(), "pairs")
     needed = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct().join(classes, "class")
-    texts = materialize(needed.join(docs, "doc_id").groupBy("class").agg(F.first("text").alias("text")), "texts")
+    own = needed.join(docs, "doc_id").select("class", "text").mapInArrow(_own_text_rows, "class long, text string")
+    texts = materialize(own.groupBy("class").agg(F.first("text").alias("text")), "texts")
     both = pairs.join(texts.select(F.col("class").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("class").alias("b"), F.col("text").alias("text_b")), "b")
     links = materialize(both.mapInArrow(_verified(shingle, threshold), "a long, b long, similarity double"), "links")
     return members, links
