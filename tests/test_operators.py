@@ -69,7 +69,7 @@ def test_empty_needle(docs):
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.text("ab\x00é", max_size=12), max_size=5), st.text("ab\x00é", min_size=1, max_size=10))
 def test_block(texts, q):
-    block = search.Block([t.encode() for t in texts], order=True)
+    block = search.Block([t.encode() for t in texts])
     data = b"\xff" + b"\xff".join(t.encode() for t in texts) + b"\xff"
     lo, at = block.interval(q.encode())
     assert sorted(at.tolist()) == [i for i in range(len(data)) if data.startswith(q.encode(), i)]

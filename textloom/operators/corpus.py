@@ -40,15 +40,15 @@ def number(docs: DataFrame) -> DataFrame:
 
 
 def doc_at(pointers: DataFrame, offsets: DataFrame, width: int = 1 << 16) -> DataFrame:
-    """As-of lookup: for each ``shard, ptr`` the document with the largest ``data_offset`` not above it.
+    """As-of lookup: for each ``shard, ptr`` the numbered document (with ``text``) that holds this byte of the stream.
 
     Both sides are cut into bins of ``width`` bytes, so the range condition becomes an equi-join; a document stands in each bin it reaches.
     """
-    last = Window.partitionBy("shard").orderBy("data_offset")
-    ends = offsets.select("shard", "doc_id", "data_offset", (F.col("data_offset") + F.octet_length(F.coalesce("text", F.lit(""))) + SEPARATOR).alias("_end")) if "text" in offsets.columns else offsets.select("shard", "doc_id", "data_offset", F.lead("data_offset").over(last).alias("_end"))
-    bins = ends.withColumn("_bin", F.explode(F.sequence(F.floor(F.col("data_offset") / width), F.floor((F.coalesce("_end", F.col("data_offset") + 1) - 1) / width))))
+    size = F.octet_length(F.coalesce("text", F.lit(""))) + SEPARATOR
+    ends = offsets.select("shard", "doc_id", "data_offset", (F.col("data_offset") + size).alias("_end"))
+    bins = ends.withColumn("_bin", F.explode(F.sequence(F.floor(F.col("data_offset") / width), F.floor((F.col("_end") - 1) / width))))
     p = pointers.withColumn("_bin", F.floor(F.col("ptr") / width))
-    hit = p.join(bins, ["shard", "_bin"]).where((F.col("ptr") >= F.col("data_offset")) & (F.col("_end").isNull() | (F.col("ptr") < F.col("_end"))))
+    hit = p.join(bins, ["shard", "_bin"]).where("ptr >= data_offset and ptr < _end")
     return hit.select(*pointers.columns, "doc_id", (F.col("ptr") - F.col("data_offset") - SEPARATOR).alias("pos"))
 
 

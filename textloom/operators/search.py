@@ -49,7 +49,7 @@ class Block:
     crosses a border and a suffix cut short by it compares as it does in the whole shard.
     """
 
-    def __init__(self, texts: list[bytes], order: bool = False):
+    def __init__(self, texts: list[bytes]):
         self.data = np.frombuffer(b"\xff" + b"\xff".join(texts) + b"\xff" * 8, np.uint8)
         n = len(self.data) - 8
         self.starts = np.cumsum([0, *(len(t) + 1 for t in texts)])[:-1] + 1
@@ -57,7 +57,7 @@ class Block:
         for i in range(8):
             head <<= np.uint64(8)
             head |= self.data[i : i + n]
-        self.order = np.argsort(head, kind="stable") if order or n else np.zeros(0, np.int64)
+        self.order = np.argsort(head, kind="stable")
         self.head = head[self.order]
 
     def interval(self, needle: bytes) -> tuple[int, np.ndarray]:
@@ -144,7 +144,7 @@ def locate_many(docs: DataFrame, needles: DataFrame) -> DataFrame:
     def run(some: list[tuple[int, bytes]]):
         def f(it):
             for part in _blocks(it, ("shard", "doc_id", "text")):
-                b = Block([p[-1] for p in part], order=True)
+                b = Block([p[-1] for p in part])
                 ids = np.array([p[1] for p in part], np.int64)
                 for q, needle in some:
                     _, at = b.interval(needle)
