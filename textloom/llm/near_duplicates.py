@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.functions.storage import materialize
-from textloom.functions.vectext import BASE, U, Words, mix, powers, word_runs
+from textloom.functions.vectext import BASE, U, Words, mix, powers, spans_of, word_runs
 from textloom.llm.common import buckets, per_chunk, pick
 from textloom.llm.gray_index import GrayIndex, gray_order, gray_rank, hamming_join, join_groups
 
@@ -41,6 +41,8 @@ BANDS, ROWS, BITS = 42, 3, 128
 SAMPLE = 64
 #: Classes below one node from which it is cut into blocks.
 HOT_ROWS = 40_000
+#: Classes of one cluster whose texts are compared with those of another such cell in one place.
+CELL = 100
 
 _MUL = mix(np.arange(1, BITS + 1, dtype=U) * U(BASE)) | U(1)
 _ADD = mix(np.arange(1, BITS + 1, dtype=U) * U(0xC2B2AE3D27D4EB4F))
@@ -141,8 +143,11 @@ def _columns(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def _pairs(a: np.ndarray, b: np.ndarray) -> pa.Table:
     lo, hi = np.minimum(a, b), np.maximum(a, b)
-    pairs = np.unique(np.stack([lo, hi], axis=1)[lo != hi], axis=0) if len(a) else np.zeros((0, 2), np.int64)
-    return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+    o = np.lexsort((hi, lo))
+    lo, hi = lo[o], hi[o]
+    new = lo != hi
+    new[1:] &= (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])
+    return pa.table({"a": lo[new], "b": hi[new]})
 
 
 def _bucket_join(radius: int):
@@ -212,27 +217,47 @@ def _own_text_rows(it):
 
 def _verified(n: int, threshold: float):
     least = Fraction(str(threshold))
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("similarity", pa.float64())])
-
-    def f(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        a, b = (batch.column(c).to_pylist() for c in "ab")
-        text = dict(zip(a, batch.column("text_a").to_pylist())) | dict(zip(b, batch.column("text_b").to_pylist()))
-        w = Words([t.lower() for t in text.values()])
-        runs, at = word_runs(w, n)
-        cut = np.searchsorted(w.doc[at], np.arange(w.n_docs + 1))
-        sets = {c: np.unique(runs[cut[i] : cut[i + 1]]) for i, c in enumerate(text)}
+
+    def f(pairs: pa.Table, texts: pa.Table) -> pa.Table:
+        sets: dict[int, np.ndarray] = {}
+        classes, bodies = texts.column("class").to_pylist(), [t.lower() for t in texts.column("text").to_pylist()]
+        for lo, hi in spans_of(bodies):
+            w = Words(bodies[lo:hi])
+            runs, at = word_runs(w, n)
+            cut = np.searchsorted(w.doc[at], np.arange(w.n_docs + 1))
+            sets |= {c: np.unique(runs[cut[i] : cut[i + 1]]) for i, c in enumerate(classes[lo:hi])}
         rows = []
-        for x, y in zip(a, b):
-            s, t = sets[x], sets[y]
+        for a, b in zip(pairs.column("a").to_pylist(), pairs.column("b").to_pylist()):
+            s, t = sets[a], sets[b]
             if min(len(s), len(t)) * least.denominator < max(len(s), len(t)) * least.numerator:
                 continue
             both = len(np.intersect1d(s, t, assume_unique=True))
             either = len(s) + len(t) - both
             if both * least.denominator >= either * least.numerator:
-                rows.append((x, y, both / either))
-        return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), schema)], schema=schema) if rows else None
+                rows.append((a, b, both / either))
+        a, b, similarity = zip(*rows) if rows else ((), (), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "similarity": pa.array(similarity, pa.float64())})
+
+    return f
 
-    return per_chunk(f, "text_b")
+
+def _verify(pairs: DataFrame, texts: DataFrame, n: int, threshold: float) -> DataFrame:
+    """``a, b, similarity`` of the pairs that reach the threshold on their sets of word runs.
+
+    Texts are not sent along with every pair. Classes with the same smallest partner lie close together; each such cluster is cut into cells of
+    about ``CELL`` classes, and a text goes once to each pair of cells that has a pair of it: in a dense cluster a hundredth as often.
+    """
+    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    low = both.groupBy(F.col("a").alias("class")).agg(F.min("b").alias("m")).select("class", F.least("class", "m").alias("low"))
+    salts = low.groupBy("low").agg(F.ceil(F.count(F.lit(1)) / CELL).alias("salts"))
+    cells = low.join(salts, "low").select("class", F.xxhash64("low", F.pmod(F.xxhash64("class"), "salts")).alias("cell"))
+    cells = materialize(cells, "cells")
+    x, y = (cells.select(F.col("class").alias(c), F.col("cell").alias(f"cell_{c}")) for c in "ab")
+    placed = materialize(pairs.join(x, "a").join(y, "b").select(F.xxhash64("cell_a", "cell_b").alias("at"), "a", "b"), "placed")
+    needed = placed.select("at", F.explode(F.array("a", "b")).alias("class")).distinct()
+    bucket = F.pmod("at", F.lit(buckets(needed.count(), 1000))).alias("bucket")
+    sent = needed.select(bucket, "class").distinct().join(texts, "class")
+    return placed.select(bucket, "a", "b").groupBy("bucket").cogroup(sent.groupBy("bucket")).applyInArrow(_verified(n, threshold), "a long, b long, similarity double")
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, min_words: int = 20, hot_rows: int = HOT_ROWS, sample: int = SAMPLE) -> tuple[DataFrame, DataFrame]:
@@ -260,8 +285,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, m
     needed = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct().join(classes, "class")
     own = needed.join(docs, "doc_id").select("class", "text").mapInArrow(_own_text_rows, "class long, text string")
     texts = materialize(own.groupBy("class").agg(F.first("text").alias("text")), "texts")
-    both = pairs.join(texts.select(F.col("class").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("class").alias("b"), F.col("text").alias("text_b")), "b")
-    links = materialize(both.mapInArrow(_verified(shingle, threshold), "a long, b long, similarity double"), "links")
+    links = materialize(_verify(pairs, texts, shingle, threshold), "links")
     return members, links
 
 
