@@ -77,8 +77,10 @@ class Block:
 
 
 def _blocks(it, columns: tuple[str, ...]):
+    """Rows of one shard, about ``BLOCK`` bytes of text at a time; the text as bytes comes last."""
     for batch in it:
-        rows = list(zip(*(batch.column(c).to_pylist() for c in columns)))
+        # Neighbouring documents lie in different shards; brought together, they make few large blocks.
+        rows = sorted(zip(*(batch.column(c).to_pylist() for c in columns)), key=lambda r: (r[0] is None, r[0] or 0))
         part: list[tuple] = []
         size = 0
         for r in rows:
