@@ -1,4 +1,8 @@
-"""Suffix order over the evaluation items (a fixed table, in four shards): queries and SQL."""
+"""Suffix order: queries over the evaluation items (a fixed table, in four shards) with their SQL, and the same queries over the whole corpus.
+
+``corpus_*`` take every text of ``documents`` in the table's own shards. They have no SQL (a key of the rest of the stream for each byte is too much for
+DuckDB); the tests compare them with brute force.
+"""
 
 from __future__ import annotations
 
@@ -68,8 +72,11 @@ def lex_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_STREAM} SELECT a.shard, CAST(a.smaller + count(t.rank) FILTER (WHERE t.rank < i.lo) AS BIGINT) AS lo, CAST(a.smaller + count(t.rank) FILTER (WHERE t.rank < i.hi) AS BIGINT) AS hi FROM (SELECT shard, count(*) FILTER (WHERE k < '74') AS smaller FROM t GROUP BY shard) a JOIN (SELECT shard, count(*) FILTER (WHERE k < hex(encode('he '))) AS lo, count(*) FILTER (WHERE k < hex(encode('he ')) OR starts_with(k, hex(encode('he ')))) AS hi FROM t GROUP BY shard) i ON a.shard = i.shard JOIN t ON t.shard = a.shard AND t.b = '74' GROUP BY a.shard, a.smaller")
 def backward_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _step_left(_suffixes(spark, sf_dir))
+
+
+def _step_left(s: DataFrame) -> DataFrame:
     """One step to the left: from the interval of ``he `` to that of ``the `` by the C-array and ranks in the BWT."""
-    s = _suffixes(spark, sf_dir)
     now, c = suffix.interval_of(s, b"he "), suffix.c_array(s).where(F.col("byte") == ord("t")).select("shard", "smaller")
     t = s.where(F.col("bwt") == ord("t")).join(F.broadcast(now), "shard").groupBy("shard").agg(F.count_if(F.col("rank") < F.col("lo")).alias("a"), F.count_if(F.col("rank") < F.col("hi")).alias("b"))
     return t.join(c, "shard").select("shard", (F.col("smaller") + F.col("a")).alias("lo"), (F.col("smaller") + F.col("b")).alias("hi"))
@@ -93,8 +100,12 @@ def tree_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def tree_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _degrees(_nodes(spark, sf_dir))
+
+
+def _degrees(tree: DataFrame) -> DataFrame:
     """Children of each inner node: inner nodes below it and single leaves."""
-    p = materialize(suffix.parents(_nodes(spark, sf_dir)), "parents")
+    p = materialize(suffix.parents(tree), "parents")
     kids = p.where("parent_lb is not null").groupBy("shard", F.col("parent_lb").alias("lb"), F.col("parent_rb").alias("rb")).agg(F.count(F.lit(1)).alias("inner"), F.sum(F.col("rb") - F.col("lb") + 1).alias("below"))
     out = p.select("shard", "lb", "rb", "depth").join(kids, ["shard", "lb", "rb"], "left").fillna(0, ["inner", "below"])
     return out.select("shard", "lb", "rb", "depth", (F.col("inner") + F.col("rb") - F.col("lb") + 1 - F.col("below")).alias("degree"))
@@ -105,3 +116,77 @@ def suffix_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suffix links of the inner nodes; read from right to left they are the Weiner links."""
     s = _suffixes(spark, sf_dir)
     return suffix.links(suffix.nodes(suffix.lcp(s)), suffix.lf_mapping(s))
+
+
+def _corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return materialize(suffix.suffix_array(table(spark, sf_dir, "documents").select("shard", "doc_id", "text")), "suffixes")
+
+
+def _corpus_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.nodes(suffix.lcp(_corpus(spark, sf_dir)))
+
+
+@query()
+def corpus_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _corpus(spark, sf_dir).select("shard", "rank", "ptr")
+
+
+@query()
+def corpus_bwt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _corpus(spark, sf_dir).select("shard", "rank", F.lpad(F.hex("bwt"), 2, "0").alias("bwt"))
+
+
+@query()
+def corpus_sa_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _corpus(spark, sf_dir).where("rank % 32 = 0").select("shard", "rank", "ptr")
+
+
+@query()
+def corpus_isa_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _corpus(spark, sf_dir).where("ptr % 64 = 0").select("shard", "ptr", "rank")
+
+
+@query()
+def corpus_lf_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.lf_mapping(_corpus(spark, sf_dir))
+
+
+@query()
+def corpus_lcp_lens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.lcp(_corpus(spark, sf_dir))
+
+
+@query()
+def corpus_c_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.c_array(_corpus(spark, sf_dir)).select("shard", F.lpad(F.hex("byte"), 2, "0").alias("symbol"), "n", "smaller")
+
+
+@query()
+def corpus_lex_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.interval_of(_corpus(spark, sf_dir), b"the ")
+
+
+@query()
+def corpus_backward_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _step_left(_corpus(spark, sf_dir))
+
+
+@query()
+def corpus_tree_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _corpus_nodes(spark, sf_dir).withColumn("size", F.col("rb") - F.col("lb") + 1)
+
+
+@query()
+def corpus_tree_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.parents(_corpus_nodes(spark, sf_dir))
+
+
+@query()
+def corpus_tree_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _degrees(_corpus_nodes(spark, sf_dir))
+
+
+@query()
+def corpus_suffix_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = _corpus(spark, sf_dir)
+    return suffix.links(materialize(suffix.nodes(suffix.lcp(s)), "nodes"), suffix.lf_mapping(s))
