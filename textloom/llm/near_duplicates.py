@@ -263,10 +263,10 @@ def _verify(pairs: DataFrame, texts: DataFrame, n: int, threshold: float) -> Dat
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, min_words: int = 20, hot_rows: int = HOT_ROWS, sample: int = SAMPLE) -> tuple[DataFrame, DataFrame]:
     """(members, links): ``doc_id, class`` of every document of at least ``min_words`` words, and ``a, b, similarity`` of every pair of similar classes.
 
-    Documents of one class have the same words in the same order. The links are between classes, a < b.
+    Documents of one class have the same words in the same order. The links are between classes, a < b. Texts shorter than a run of ``shingle``
+    words have a class, but no links: they are similar only to their copies.
     """
     docs = pick(docs, "doc_id", "text").where("doc_id is not null and text is not null")
-    min_words = max(min_words, shingle)
     members = materialize(docs.mapInArrow(_class_rows(min_words), "doc_id long, class long").distinct(), "members")
     classes = members.groupBy("class").agg(F.min("doc_id").alias("doc_id"))
     n_buckets = buckets(members.count() * BANDS)
@@ -321,10 +321,17 @@ def components(links: DataFrame) -> DataFrame:
     return stars.select(F.col("u").alias("node"), "component").unionByName(stars.select(F.col("component").alias("node"), "component").distinct())
 
 
-def near_duplicate_groups(members: DataFrame, links: DataFrame) -> DataFrame:
-    """``doc_id, group_id, links``: every document, the smallest document of its group, and the number of classes linked to its own."""
+def near_duplicate_groups(members: DataFrame, links: DataFrame, docs: DataFrame | None = None) -> DataFrame:
+    """``doc_id, group_id, links``: every document, the smallest document of its group, and the number of classes linked to its own.
+
+    With ``docs``, documents without a class (no text, or fewer than ``min_words`` words) have a row as well: each is a group of its own.
+    """
     found = components(links)
     degree = links.select(F.explode(F.array("a", "b")).alias("class")).groupBy("class").agg(F.count(F.lit(1)).alias("links"))
     rows = members.join(found, members["class"] == found["node"], "left").select("doc_id", "class", F.coalesce("component", "class").alias("component"))
     rows = rows.join(degree, "class", "left").fillna(0, ["links"])
-    return rows.join(rows.groupBy("component").agg(F.min("doc_id").alias("group_id")), "component").select("doc_id", "group_id", "links")
+    rows = rows.join(rows.groupBy("component").agg(F.min("doc_id").alias("group_id")), "component").select("doc_id", "group_id", "links")
+    if docs is None:
+        return rows
+    every = docs.select("doc_id").where("doc_id is not null").distinct()
+    return every.join(rows, "doc_id", "left").select("doc_id", F.coalesce("group_id", "doc_id").alias("group_id"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))

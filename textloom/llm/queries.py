@@ -19,6 +19,8 @@ from textloom.llm.token_budget import fit, plain_name, token_budget
 
 #: What a near-duplicate is for ``p4_found``: at least 0.6 of the three-word runs in common.
 FOUND = {"threshold": 0.6, "shingle": 3, "min_words": 20}
+#: For ``p4_groups``: at least 0.8 of the five-word runs in common, in texts of any length that has words.
+GROUPS = {"threshold": 0.8, "shingle": 5, "min_words": 1}
 
 
 def _copies(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -63,8 +65,9 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Groups of documents at the usual measure: five-word runs, similarity 0.8."""
-    return near_duplicate_groups(*near_duplicates(table(spark, sf_dir, "documents")))
+    """Groups of documents at the usual measure: five-word runs, similarity 0.8. Texts of fewer than five words are grouped with their copies."""
+    docs = table(spark, sf_dir, "documents")
+    return near_duplicate_groups(*near_duplicates(docs, **GROUPS), docs)
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
