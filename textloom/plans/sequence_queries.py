@@ -41,9 +41,12 @@ _ASKED = "a AS (SELECT DISTINCT l_orderkey AS i, CASE l_linenumber % 3 WHEN 0 TH
 
 @query(f"WITH {_ASKED}, u AS (SELECT i * 2 AS o, sym, i, 0 AS w FROM a UNION ALL SELECT event_id * 2 + 1, event_type, NULL, 1 FROM events) SELECT i, sym, CAST(s AS BIGINT) AS rank FROM (SELECT i, sym, sum(w) OVER (PARTITION BY sym ORDER BY o) AS s FROM u) WHERE i IS NOT NULL")
 def seq_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sequence.rank(_seq(spark, sf_dir), _questions(spark, sf_dir).where("i < 9000"))
+
+
+def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     sym = F.when(F.col("l_linenumber") % 3 == 0, "click").when(F.col("l_linenumber") % 3 == 1, "view").otherwise("nothing")
-    asked = table(spark, sf_dir, "lineitem").where("l_orderkey < 9000").select(F.col("l_orderkey").alias("i"), sym.alias("sym")).distinct()
-    return sequence.rank(_seq(spark, sf_dir), asked)
+    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("i"), sym.alias("sym")).distinct()
 
 
 @query("SELECT CAST(k AS BIGINT) AS k, event_type AS sym, event_id AS i FROM (SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS k FROM events) WHERE k IN (SELECT query_id FROM needles)")
@@ -285,3 +288,78 @@ def entropy_h0(spark: SparkSession, sf_dir: str) -> DataFrame:
 def entropy_hk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entropy of a byte given the three before it, and the number of contexts."""
     return entropy.conditional_entropy(entropy.gram_counts(table(spark, sf_dir, "documents"), 3)).select(F.round("entropy", 6).alias("entropy"), "contexts")
+
+
+# The queries above ask about the beginning of the sequence. Those below ask the same of the whole of it: every row of lineitem, and ranges by its size.
+
+
+def _size(seq: DataFrame) -> int:
+    return (seq.agg(F.max("i")).first()[0] or 0) + 1
+
+
+def _parts(seq: DataFrame) -> DataFrame:
+    """Four ranges from the first position to the last: everything, the middle half, the second half and the last tenth; q is their median."""
+    n = _size(seq)
+    bounds = [(0, n - 1), (n // 4, 3 * n // 4), (n // 2, n - 1), (n - 1 - n // 10, n - 1)]
+    return seq.sparkSession.createDataFrame([(k + 1, lo, hi, (hi - lo) // 2) for k, (lo, hi) in enumerate(bounds)], "range_id int, lo long, hi long, q long")
+
+
+_N = "n AS (SELECT max(event_id) + 1 AS n FROM events)"
+_P = f"""{_N}, b(range_id, lo, hi) AS (SELECT 1, 0, n - 1 FROM n UNION ALL SELECT 2, n // 4, 3 * n // 4 FROM n UNION ALL SELECT 3, n // 2, n - 1 FROM n UNION ALL SELECT 4, n - 1 - n // 10, n - 1 FROM n),
+r AS (SELECT *, (hi - lo) // 2 AS q FROM b)"""
+
+
+@query(f"WITH {_ASKED.replace(' WHERE l_orderkey < 9000', '')}, u AS (SELECT i * 2 AS o, sym, i, 0 AS w FROM a UNION ALL SELECT event_id * 2 + 1, event_type, NULL, 1 FROM events) SELECT i, sym, CAST(s AS BIGINT) AS rank FROM (SELECT i, sym, sum(w) OVER (PARTITION BY sym ORDER BY o) AS s FROM u) WHERE i IS NOT NULL")
+def seq_rank_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A question for every row of lineitem; beyond the end of the sequence the rank is the full count."""
+    return sequence.rank(_seq(spark, sf_dir), _questions(spark, sf_dir))
+
+
+@query(f"WITH {_N} SELECT count(*) FILTER (WHERE event_id < n // 4 AND event_type = 'error') AS rank, count(*) FILTER (WHERE event_id >= n // 4 AND event_type < 'error') AS smaller, count(*) FILTER (WHERE event_id >= n // 4 AND event_type > 'error') AS greater FROM events, n")
+def lex_count_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seq = _seq(spark, sf_dir)
+    n = _size(seq)
+    return sequence.lex_count(seq, n // 4, n, "error")
+
+
+@query("SELECT count(*) FILTER (WHERE event_type = 'purchase') AS rank, count(*) FILTER (WHERE event_type < 'purchase') AS smaller FROM events")
+def lex_smaller_count_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seq = _seq(spark, sf_dir)
+    return sequence.lex_smaller_count(seq, _size(seq), "purchase")
+
+
+@query(f"WITH {_N} SELECT user_id AS sym, count(*) FILTER (WHERE event_id < n // 4) AS rank_lo, count(*) AS rank_hi FROM events, n GROUP BY user_id HAVING count(*) > count(*) FILTER (WHERE event_id < n // 4)")
+def interval_symbols_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seq = _seq(spark, sf_dir, "user_id")
+    n = _size(seq)
+    return sequence.interval_symbols(seq, n // 4, n)
+
+
+@query(f"WITH {_P}, h AS (SELECT range_id, q, user_id AS sym, row_number() OVER (PARTITION BY range_id ORDER BY user_id) AS k, count(*) OVER (PARTITION BY range_id, user_id) AS freq FROM r JOIN events ON event_id BETWEEN lo AND hi) SELECT range_id, sym, freq FROM h WHERE k = q + 1")
+def quantile_freq_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seq = _seq(spark, sf_dir, "user_id")
+    return sequence.quantile_freq(seq, _parts(seq))
+
+
+@query(f"WITH {_P} SELECT user_id AS sym, count(DISTINCT range_id) AS n_ranges, count(*) AS freq FROM r JOIN events ON event_id BETWEEN lo AND hi GROUP BY user_id HAVING count(DISTINCT range_id) >= 3")
+def intersect_ranges_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seq = _seq(spark, sf_dir, "user_id")
+    return sequence.intersect(seq, _parts(seq), 3)
+
+
+@query("SELECT event_id AS i, user_id AS sym FROM events WHERE user_id BETWEEN 20 AND 30")
+def range_search_2d_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seq = _seq(spark, sf_dir, "user_id")
+    return sequence.range_search_2d(seq, 0, _size(seq) - 1, 20, 30)
+
+
+@query("SELECT DISTINCT user_id AS sym FROM events WHERE user_id BETWEEN 20 AND 90")
+def unique_range_values_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seq = _seq(spark, sf_dir, "user_id")
+    return sequence.unique_range_values(seq, 0, _size(seq) - 1, 20, 90)
+
+
+@query(f"WITH {_P}, h AS (SELECT range_id, event_id AS i, value AS v, row_number() OVER (PARTITION BY range_id ORDER BY value, event_id) AS k FROM r JOIN events ON event_id BETWEEN lo AND hi) SELECT range_id, i, v FROM h WHERE k = 1")
+def range_minimum_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seq = table(spark, sf_dir, "events").select(F.col("event_id").alias("i"), F.col("value").alias("v"))
+    return sequence.range_minimum(seq, _parts(seq))
