@@ -131,6 +131,16 @@ def bit_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("i", "rank1", (F.col("i") - F.col("rank1")).alias("rank0"), "rank01")
 
 
+@query(f"WITH {_B} SELECT i, CAST(coalesce(sum(CASE WHEN before = 0 AND bit = 0 THEN 1 ELSE 0 END) OVER w, 0) AS BIGINT) AS rank00, CAST(coalesce(sum(CASE WHEN before = 1 AND bit = 0 THEN 1 ELSE 0 END) OVER w, 0) AS BIGINT) AS rank10, CAST(coalesce(sum(CASE WHEN before = 1 AND bit = 1 THEN 1 ELSE 0 END) OVER w, 0) AS BIGINT) AS rank11 FROM b WINDOW w AS (ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)")
+def bit_rank_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Patterns 00, 10 and 11 that end before each position (01 is in ``bit_rank``); the first bit ends none."""
+    rows = _bits(spark, sf_dir)
+    for a, b in ("00", "10", "11"):
+        hit = (F.col("before") == int(a)) & (F.col("bit") == int(b))
+        rows = running_total(rows, F.when(hit, 1).otherwise(0).cast("long"), "i", f"rank{a}{b}", group="one")
+    return rows.select("i", "rank00", "rank10", "rank11")
+
+
 @query(f"WITH {_B} SELECT CAST(row_number() OVER (ORDER BY i) AS BIGINT) AS k, i FROM b WHERE bit = 1")
 def bit_select(spark: SparkSession, sf_dir: str) -> DataFrame:
     ones = _bits(spark, sf_dir).where("bit = 1")
