@@ -46,17 +46,23 @@ def sources_of(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return edges.join(nodes, "dst", "left_semi").select("src", "dst").distinct()
 
 
-def levels(tree: DataFrame, root: str | int, most: int = 64) -> DataFrame:
-    """``node, parent`` -> ``node, parent, depth``: one join per level, breadth first."""
-    seen = tree.where(F.col("node") == F.lit(root)).withColumn("depth", F.lit(0))
-    front = materialize(seen, "level")
-    out = front
-    for d in range(1, most):
+def levels(tree: DataFrame, root: str | int) -> DataFrame:
+    """``node, parent`` -> ``node, parent, depth``: one join per level, breadth first, down to the deepest node below the root.
+
+    A node that is reached on two levels raises ``ValueError``: the rows are no tree, and on a cycle they would have no end.
+    """
+    front = materialize(tree.where(F.col("node") == F.lit(root)).withColumn("depth", F.lit(0)), "level")
+    out, d = front, 0
+    while True:
+        d += 1
         front = materialize(tree.join(front.select(F.col("node").alias("parent")), "parent").select("node", "parent").withColumn("depth", F.lit(d)), "level")
         if front.isEmpty():
-            break
+            return out
+        if not front.join(out.select("node"), "node", "left_semi").isEmpty():
+            raise ValueError("not a tree: a node is reached on two levels")
         out = out.unionByName(front)
-    return out
+        if d % 16 == 0:  # the plan stays short however deep the tree is
+            out = materialize(out, "levels")
 
 
 def louds(nodes: DataFrame) -> DataFrame:
