@@ -5,6 +5,8 @@ An upper node keeps, for the fingerprints below it, the bits that all of them sh
 the OR of the fingerprints). The bits in which the shared patterns of two nodes contradict each
 other are a lower bound of every distance between them, and it only grows on the way down; pairs of
 nodes whose bound exceeds the radius are pruned as a whole. The join is exact: pruning loses no pair.
+
+A forest holds the trees of many groups at once, so that one vectorised step goes down in all of them.
 """
 
 from __future__ import annotations
@@ -30,101 +32,116 @@ def gray_rank(f: np.ndarray) -> np.ndarray:
     return out
 
 
-def gray_order(f: np.ndarray) -> np.ndarray:
+def gray_order(f: np.ndarray, group: np.ndarray | None = None) -> np.ndarray:
+    """The order by Gray rank; by group first, if given."""
     r = gray_rank(f)
-    return np.lexsort(tuple(r[:, w] for w in reversed(range(r.shape[1]))))
+    by = [r[:, w] for w in reversed(range(r.shape[1]))]
+    return np.lexsort((*by, group) if group is not None else tuple(by))
 
 
 def _bits(x: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x).sum(axis=1, dtype=np.int64)
 
 
-class GrayIndex:
-    """``f`` must be in Gray order. ``levels[0]`` are the leaves' blocks, the last level is the top; each is (AND, OR)."""
+class Forest:
+    """Trees over the fingerprints ``f``, which are in Gray order within each group; ``first`` are the groups' first rows.
+
+    ``levels[0]`` are blocks of rows, and the last level has one node for each group. A level is (start, AND, OR): node k covers
+    the rows, or the nodes of the level below, from start[k] to start[k + 1].
+    """
 
-    def __init__(self, f: np.ndarray):
+    def __init__(self, f: np.ndarray, first: np.ndarray, height: int = 1):
         self.f, self.levels = f, []
         both, any_, step = f, f, LEAF
+        at, size = first, np.diff(np.r_[first, len(f)])
         while True:
-            at = np.arange(0, len(both), step)
-            both, any_ = np.bitwise_and.reduceat(both, at, axis=0), np.bitwise_or.reduceat(any_, at, axis=0)
-            self.levels.append((both, any_))
-            if len(both) <= FAN:
+            n = -(-size // step)
+            top = np.cumsum(n) - n
+            start = np.repeat(at, n) + step * (np.arange(int(n.sum())) - np.repeat(top, n))
+            stop = len(both)
+            both, any_ = np.bitwise_and.reduceat(both, start, axis=0), np.bitwise_or.reduceat(any_, start, axis=0)
+            self.levels.append((np.r_[start, stop], both, any_))
+            at, size, step = top, n, FAN
+            if len(self.levels) >= height and (n == 1).all():
                 return
-            step = FAN
 
 
-def _cross(a: np.ndarray, b: np.ndarray, fan: int, na: int, nb: int) -> tuple[np.ndarray, np.ndarray]:
-    i = (a[:, None, None] * fan + np.arange(fan)[None, :, None]).repeat(fan, 2).ravel()
-    j = (b[:, None, None] * fan + np.arange(fan)[None, None, :]).repeat(fan, 1).ravel()
-    ok = (i < na) & (j < nb)
-    return i[ok], j[ok]
+def _cross(x: np.ndarray, a: np.ndarray, y: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of children of the nodes a[k] and b[k], for every k."""
+    na, nb = x[a + 1] - x[a], y[b + 1] - y[b]
+    n = na * nb
+    k = np.repeat(np.arange(len(a)), n)
+    within = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    return x[a][k] + within // nb[k], y[b][k] + within % nb[k]
+
+
+def _slices(x: np.ndarray, a: np.ndarray, y: np.ndarray, b: np.ndarray):
+    """Bounds of runs of node pairs with about ``SLICE`` pairs of children each."""
+    total = np.cumsum((x[a + 1] - x[a]) * (y[b + 1] - y[b]))
+    lo = 0
+    while lo < len(a):
+        hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + SLICE, "right")))
+        yield lo, hi
+        lo = hi
 
 
-def hamming_join(x: GrayIndex, y: GrayIndex | None, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions (i in x, j in y) at most ``radius`` bits apart; without y, pairs i < j within x."""
+def hamming_join(x: Forest, y: Forest | None, radius: int, work: dict[str, int] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Rows (i of x, j of y) of groups of the same number at most ``radius`` bits apart; without y, pairs i < j within each group of x.
+
+    Both forests must have the same height. ``work`` gets the number of fingerprint pairs compared one by one.
+    """
     z = y or x
-    lx, lz = len(x.levels) - 1, len(z.levels) - 1
-    a, b = (v.ravel() for v in np.meshgrid(np.arange(len(x.levels[lx][0])), np.arange(len(z.levels[lz][0])), indexing="ij"))
+    top = len(x.levels) - 1
+    roots = np.arange(len(x.levels[top][1]))
     found: list[tuple[np.ndarray, np.ndarray]] = []
-    stack = [(lx, lz, a, b)]
+    stack = [(top, roots, roots)]
     while stack:
-        lx, lz, a, b = stack.pop()
-        if y is None and lx == lz:
-            a, b = a[a <= b], b[a <= b]
-        (xa, xo), (za, zo) = x.levels[lx], z.levels[lz]
+        level, a, b = stack.pop()
+        (xs, xa, xo), (zs, za, zo) = x.levels[level], z.levels[level]
         keep = _bits((xa[a] & ~zo[b]) | (za[b] & ~xo[a])) <= radius
         a, b = a[keep], b[keep]
-        if not len(a):
-            continue
-        fan = LEAF if lx == lz == 0 else FAN
-        for lo in range(0, len(a), max(1, SLICE // fan**2)):
-            p, q = a[lo : lo + max(1, SLICE // fan**2)], b[lo : lo + max(1, SLICE // fan**2)]
-            if lx == lz == 0:
-                i, j = _cross(p, q, LEAF, len(x.f), len(z.f))
-                if y is None:
-                    i, j = i[i < j], j[i < j]
-                near = _bits(x.f[i] ^ z.f[j]) <= radius
-                found.append((i[near], j[near]))
-            elif lx == lz:
-                stack.append((lx - 1, lz - 1, *_cross(p, q, FAN, len(x.levels[lx - 1][0]), len(z.levels[lz - 1][0]))))
-            elif lx > lz:
-                i = (p[:, None] * FAN + np.arange(FAN)).ravel()
-                ok = i < len(x.levels[lx - 1][0])
-                stack.append((lx - 1, lz, i[ok], q.repeat(FAN)[ok]))
-            else:
-                j = (q[:, None] * FAN + np.arange(FAN)).ravel()
-                ok = j < len(z.levels[lz - 1][0])
-                stack.append((lx, lz - 1, p.repeat(FAN)[ok], j[ok]))
+        for lo, hi in _slices(xs, a, zs, b):
+            i, j = _cross(xs, a[lo:hi], zs, b[lo:hi])
+            if y is None:
+                ordered = i < j if level == 0 else i <= j
+                i, j = i[ordered], j[ordered]
+            if level:
+                stack.append((level - 1, i, j))
+                continue
+            if work is not None:
+                work["compared"] = work.get("compared", 0) + len(i)
+            near = _bits(x.f[i] ^ z.f[j]) <= radius
+            found.append((i[near], j[near]))
     if not found:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     return np.concatenate([i for i, _ in found]), np.concatenate([j for _, j in found])
 
 
-def join_groups(key: np.ndarray, f: np.ndarray, radius: int, small: int = 48) -> tuple[np.ndarray, np.ndarray]:
+def join_groups(key: np.ndarray, f: np.ndarray, radius: int, work: dict[str, int] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of rows of one key at most ``radius`` bits apart, over all keys; each unordered pair once."""
-    r = gray_rank(f)
-    order = np.lexsort((*(r[:, w] for w in reversed(range(r.shape[1]))), key))
-    k, g = key[order], f[order]
+    by_key = np.argsort(key, kind="stable")
+    k = key[by_key]
+    new = np.r_[True, k[1:] != k[:-1]] if len(k) else np.zeros(0, bool)
+    alone = new & np.r_[new[1:], True] if len(k) else new
+    rows = by_key[~alone]  # a group of one has no pairs
+    if not len(rows):
+        return rows, rows
+    order = rows[gray_order(f[rows], key[rows])]
+    k = key[order]
     first = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
-    size = np.diff(np.r_[first, len(k)])
-    left: list[np.ndarray] = []
-    right: list[np.ndarray] = []
-    # In groups below the size of a few leaves a tree has nothing to prune: compare by distance in the order.
-    inside = np.repeat(np.where(size <= small, size, 0), size)
-    end = np.repeat(first + size, size)
-    at = np.flatnonzero(inside > 1)
-    for d in range(1, small):
-        at = at[at + d < end[at]]
-        if not len(at):
-            break
-        near = at[_bits(g[at] ^ g[at + d]) <= radius]
-        left.append(near)
-        right.append(near + d)
-    for s, n in zip(first[size > small].tolist(), size[size > small].tolist()):
-        i, j = hamming_join(GrayIndex(g[s : s + n]), None, radius)
-        left.append(i + s)
-        right.append(j + s)
-    if not left:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return order[np.concatenate(left)], order[np.concatenate(right)]
+    if work is not None:
+        size = np.diff(np.r_[first, len(k)])
+        work["groups"] = work.get("groups", 0) + len(first)
+        work["largest"] = max(work.get("largest", 0), int(size.max()))
+        work["pairs"] = work.get("pairs", 0) + int((size * (size - 1) // 2).sum())
+    i, j = hamming_join(Forest(f[order], first), None, radius, work)
+    return order[i], order[j]
+
+
+def join_sides(x: np.ndarray, y: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of x and rows of y at most ``radius`` bits apart; neither is empty."""
+    ox, oy = gray_order(x), gray_order(y)
+    one = np.zeros(1, np.int64)
+    height = max(len(Forest(f, one).levels) for f in (x, y))
+    i, j = hamming_join(Forest(x[ox], one, height), Forest(y[oy], one, height), radius)
+    return ox[i], oy[j]

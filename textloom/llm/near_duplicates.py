@@ -7,13 +7,16 @@ Method: binary fingerprints in a hierarchical index in Gray order (see ``gray_in
 2. A class gets a fingerprint of 128 bits from min-hashes of its runs of three words; two classes
    of similarity s differ in about 64 (1-s) bits. The radius lies 4.5 standard deviations above what the
    threshold gives; by the binomial tail about 20 in a million pairs at 0.6 and 22 at 0.8 are lost by it.
-3. The first level of the index factors out masked patterns: the bits of one band of ``ROWS``
-   min-hashes, once for each of ``BANDS`` masks. Classes at similarity s share at least one of these nodes with
-   probability 1-(1-s^ROWS)^BANDS: 0.99996 at 0.6, more above. Below each such node the fingerprints
+3. At this radius, 45 of 128 bits for 0.6, a tree over all fingerprints prunes nothing: unrelated ones differ in 64 bits, and
+   upper nodes share only the first few. So the top level of the index factors out masked patterns first: all bits of a band
+   of ``ROWS`` min-hashes, once for each of ``BANDS`` masks. Classes at similarity s share at least one of these nodes with
+   probability 1-(1-s^ROWS)^BANDS: 0.99996 at 0.6, more above. Below every such node the fingerprints
    are sorted by Gray rank, upper nodes keep shared bit patterns, and whole groups are pruned by
-   accumulated differences.
-4. A node with very many classes is found from a sample (which decides only how the work is split), cut
-   into blocks in Gray order, and block pairs are pruned by their shared patterns before rows move.
+   accumulated differences, whatever the node's size.
+4. A node with very many classes is found from a sample (which decides only how the work is split). Its mask is lengthened by
+   each band of a second family of min-hashes, so that its classes are dealt to nodes by similarity instead of being compared with each other; a pair
+   at 0.6 is kept by this with probability 0.99996 once more. A node that is still as large holds classes that agree in six min-hashes. It is a dense cluster
+   whose links are the result; it is cut into blocks in Gray order, which are joined two by two in many tasks.
 5. The pairs left are verified exactly on their sets of word runs.
 
 Defined results: null, empty and short texts (fewer than ``min_words`` words) and rows without ``doc_id`` take no part; an empty
@@ -34,7 +37,7 @@ from pyspark.sql import functions as F
 from textloom.functions.storage import materialize
 from textloom.functions.vectext import BASE, U, Words, mix, powers, spans_of, word_runs
 from textloom.llm.common import buckets, per_chunk, pick
-from textloom.llm.gray_index import GrayIndex, gray_order, gray_rank, hamming_join, join_groups
+from textloom.llm.gray_index import gray_rank, join_groups, join_sides
 
 BANDS, ROWS, BITS = 42, 3, 128
 #: One class in so many is looked at to find patterns that very many classes share.
@@ -44,8 +47,12 @@ HOT_ROWS = 40_000
 #: Classes of one cluster whose texts are compared with those of another such cell in one place.
 CELL = 100
 
-_MUL = mix(np.arange(1, BITS + 1, dtype=U) * U(BASE)) | U(1)
-_ADD = mix(np.arange(1, BITS + 1, dtype=U) * U(0xC2B2AE3D27D4EB4F))
+#: Copies of one text beyond which the pairs among them are made in several tasks.
+COPIES = 1000
+
+_SEEDS = np.arange(1, 2 * BITS + 1, dtype=U)
+_MUL = (mix(_SEEDS * U(BASE)) | U(1)).reshape(2, BITS)
+_ADD = mix(_SEEDS * U(0xC2B2AE3D27D4EB4F)).reshape(2, BITS)
 
 
 def radius_of(threshold: float) -> int:
@@ -63,14 +70,14 @@ def classes_of(words: Words) -> np.ndarray:
     return mix((p[b] - p[a]) * inv[np.minimum(a, len(p) - 1)] + (b - a).astype(U))
 
 
-def signatures(shingles: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Band keys (texts x BANDS) and fingerprints (texts x 2 words); text t has shingles from first[t] on, at least one."""
+def signatures(shingles: np.ndarray, first: np.ndarray, family: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Band keys (texts x BANDS) and fingerprints (texts x 2 words) of one of the two families; text t has shingles from first[t] on, at least one."""
     n = len(first)
     low = np.empty((BITS, n), U)
     buf = np.empty(len(shingles), U)
     for i in range(BITS):
-        np.multiply(shingles, _MUL[i], out=buf)
-        buf += _ADD[i]
+        np.multiply(shingles, _MUL[family, i], out=buf)
+        buf += _ADD[family, i]
         np.minimum.reduceat(buf, first, out=low[i])
     low = mix(low)
     keys = np.zeros((n, BANDS), U)
@@ -99,7 +106,7 @@ def _class_rows(min_words: int):
     return per_chunk(f)
 
 
-def _entry_rows(min_words: int, n: int, n_buckets: int, sample: int):
+def _entry_rows(min_words: int, n: int, n_buckets: int, sample: int = 1, family: int = 0):
     schema = pa.schema([("bucket", pa.int32()), ("key", pa.int64()), ("class", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64())])
 
     def run(it):
@@ -123,7 +130,7 @@ def _entry_rows(min_words: int, n: int, n_buckets: int, sample: int):
             keep = np.zeros(w.n_docs, bool)
             keep[take] = True
             runs, doc = runs[keep[doc]], doc[keep[doc]]
-            keys, f = signatures(runs, np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]]))
+            keys, f = signatures(runs, np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]]), family)
             key = keys.ravel()
             rep = lambda x: pa.array(np.repeat(x, BANDS).view(np.int64))
             return pa.RecordBatch.from_arrays([pa.array((key % U(n_buckets)).astype(np.int32)), pa.array(key.view(np.int64)), rep(cls[take]), rep(f[:, 0]), rep(f[:, 1])], schema=schema)
@@ -166,16 +173,15 @@ def _block_join(radius: int):
     def f(t: pa.Table) -> pa.Table:
         _, cls, fp = _columns(t)
         side = t.column("side").to_numpy()
-        parts = []
-        for s in (0, 1):
-            at = np.flatnonzero(side == s)
-            at = at[np.unique(cls[at], return_index=True)[1]]
-            parts.append(at[gray_order(fp[at])] if len(at) else at)
-        x, y = parts
+        x, y = (np.flatnonzero(side == s) for s in (0, 1))
+        x, y = (at[np.unique(cls[at], return_index=True)[1]] for at in (x, y))
         if not len(x):
             return _pairs(cls[:0], cls[:0])
-        i, j = hamming_join(GrayIndex(fp[x]), GrayIndex(fp[y]) if len(y) else None, radius)
-        return _pairs(cls[x[i]], cls[(y if len(y) else x)[j]])
+        if len(y):
+            i, j = join_sides(fp[x], fp[y], radius)
+            return _pairs(cls[x[i]], cls[y[j]])
+        i, j = join_groups(np.zeros(len(x), np.int64), fp[x], radius)
+        return _pairs(cls[x[i]], cls[x[j]])
 
     return f
 
@@ -186,21 +192,35 @@ def _rank_rows(it):
         yield pa.RecordBatch.from_arrays([*b.columns, pa.array((gray_rank(f)[:, 0] >> U(56)).astype(np.int64))], [*b.schema.names, "prefix"])
 
 
-def _hot_pairs(entries: DataFrame, radius: int, hot_rows: int) -> DataFrame:
-    """Pairs below the nodes with very many classes: blocks in Gray order, salted where one still is too large, joined two by two."""
+def _hot_pairs(entries: DataFrame, second: DataFrame, radius: int, hot_rows: int) -> DataFrame:
+    """Pairs below the nodes with very many classes: each such node's mask is lengthened by every band of the ``second`` family."""
+    names = [c.split()[0] for c in _ENTRY.split(", ")]
+    entries = materialize(entries.dropDuplicates(["key", "class"]).select("key", "class", "f1", "f2"), "hot-entries")
+    more = second.join(entries.select("class").distinct(), "class", "left_semi").select("class", F.col("key").alias("key2")).distinct()
+    rows = entries.join(more, "class").select(F.xxhash64("key", "key2").alias("key"), "class", "f1", "f2")
+    rows = materialize(rows.select(F.lit(0).alias("bucket"), "key", "class", "f1", "f2"), "longer-masks")
+    n_buckets = buckets(rows.count())
+    dense = materialize(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot_rows).select("key"), "dense-nodes")
+    apart = rows.withColumn("bucket", F.pmod("key", F.lit(n_buckets)).cast("int"))
+    if not dense.take(1):
+        return apart.groupBy("bucket").applyInArrow(_bucket_join(radius), "a long, b long")
+    found = apart.join(dense, "key", "left_anti").groupBy("bucket").applyInArrow(_bucket_join(radius), "a long, b long")
+    return found.unionByName(_dense_pairs(rows.join(dense, "key", "left_semi").select(*names), radius, hot_rows))
+
+
+def _dense_pairs(entries: DataFrame, radius: int, hot_rows: int) -> DataFrame:
+    """Pairs below the nodes of dense clusters: blocks in Gray order, salted where one still is too large, joined two by two."""
     block_rows = max(1, hot_rows // 4)
     names = [c.split()[0] for c in _ENTRY.split(", ")]
-    rows = entries.dropDuplicates(["key", "class"]).select(*names).mapInArrow(_rank_rows, _ENTRY + ", prefix long")
-    rows = materialize(rows, "hot-entries")
+    rows = materialize(entries.mapInArrow(_rank_rows, _ENTRY + ", prefix long"), "dense-entries")
     parts = rows.groupBy("key", "prefix").agg(F.ceil(F.count(F.lit(1)) / block_rows).alias("salts"))
     rows = rows.join(parts, ["key", "prefix"]).withColumn("block", F.col("prefix") * 1_000_000 + F.pmod(F.xxhash64("class"), "salts"))
-    nodes = rows.groupBy("key", "block").agg(*[g(c).alias(f"{n}{c}") for c in ("f1", "f2") for n, g in (("all_", F.bit_and), ("any_", F.bit_or))])
-    x, y = nodes.alias("x"), nodes.alias("y")
-    apart = sum(F.bit_count(F.expr(f"(x.all_{c} & ~y.any_{c}) | (y.all_{c} & ~x.any_{c})")) for c in ("f1", "f2"))
-    met = x.join(y, F.expr("x.key = y.key and x.block <= y.block")).where(apart <= radius).select("x.key", F.col("x.block").alias("p"), F.col("y.block").alias("q"))
+    blocks = rows.select("key", "block").distinct()
+    met = blocks.select("key", F.col("block").alias("p")).join(blocks.select("key", F.col("block").alias("q")), "key").where("p <= q")
+    met = materialize(met, "block-pairs")
     cols = [*names, "p", "q"]
-    left = rows.join(met, (rows["key"] == met["key"]) & (rows["block"] == met["p"])).drop(met["key"]).select(*cols, F.lit(0).alias("side"))
-    right = rows.join(met, (rows["key"] == met["key"]) & (rows["block"] == met["q"]) & (met["p"] < met["q"])).drop(met["key"]).select(*cols, F.lit(1).alias("side"))
+    left = rows.join(met.withColumn("block", F.col("p")), ["key", "block"]).select(*cols, F.lit(0).alias("side"))
+    right = rows.join(met.where("p < q").withColumn("block", F.col("q")), ["key", "block"]).select(*cols, F.lit(1).alias("side"))
     return left.unionByName(right).groupBy("key", "p", "q").applyInArrow(_block_join(radius), "a long, b long")
 
 
@@ -274,11 +294,12 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, m
     # The sample counts classes; a node of more than hot_rows of them shows up with hot_rows / sample.
     seen = docs.mapInArrow(_entry_rows(min_words, shingle, n_buckets, sample), _ENTRY).groupBy("key").agg(F.count_distinct("class").alias("n"))
     hot = materialize(seen.where(F.col("n") * sample > hot_rows).select("key"), "hot-nodes")
-    entries = docs.mapInArrow(_entry_rows(min_words, shingle, n_buckets, 1), _ENTRY)
+    entries = docs.mapInArrow(_entry_rows(min_words, shingle, n_buckets), _ENTRY)
     if hot.take(1):
         cold = entries.join(hot, "key", "left_anti")
         pairs = cold.groupBy("bucket").applyInArrow(_bucket_join(radius), "a long, b long")
-        pairs = pairs.unionByName(_hot_pairs(entries.join(hot, "key", "left_semi"), radius, hot_rows))
+        second = docs.mapInArrow(_entry_rows(min_words, shingle, n_buckets, family=1), _ENTRY)
+        pairs = pairs.unionByName(_hot_pairs(entries.join(hot, "key", "left_semi"), second, radius, hot_rows))
     else:
         pairs = entries.groupBy("bucket").applyInArrow(_bucket_join(radius), "a long, b long")
     pairs = materialize(pairs.distinct(), "pairs")
@@ -290,11 +311,18 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, m
 
 
 def similar_pairs(members: DataFrame, links: DataFrame) -> DataFrame:
-    """``doc_id_a < doc_id_b``: every pair of documents of one class or of linked classes."""
+    """``doc_id_a < doc_id_b``: every pair of documents of one class or of linked classes.
+
+    The pairs among the copies of one text are as many as the square of the copies. A text of many copies is salted, so that they are made in many tasks.
+    """
     x = members.select(F.col("class").alias("a"), F.col("doc_id").alias("i"))
     y = members.select(F.col("class").alias("b"), F.col("doc_id").alias("j"))
     across = links.join(x, "a").join(y, "b").where("i <> j")
-    within = x.join(y, F.expr("a = b and i < j"))
+    n = members.groupBy("class").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("class").alias("a"), F.ceil(F.col("n") / COPIES).alias("salts"))
+    several = materialize(x.join(n, "a"), "copies")
+    left = several.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1))).select("a", "i", "salt")
+    right = several.select(F.col("a").alias("b"), F.col("i").alias("j"), F.pmod(F.xxhash64("i"), "salts").alias("to"))
+    within = left.join(right, F.expr("a = b and salt = to and i < j"))
     return across.select("i", "j").unionByName(within.select("i", "j")).select(F.least("i", "j").alias("doc_id_a"), F.greatest("i", "j").alias("doc_id_b"))
 
 
