@@ -11,7 +11,7 @@ from textloom.functions.storage import materialize, table
 from textloom.llm.formatting_duplicates import copies, record_tuples
 from textloom.llm.leakage import leaked_items, leaks
 from textloom.llm.near_duplicates import near_duplicate_groups, near_duplicates, similar_pairs
-from textloom.llm.reading_level import demanding, reading_levels
+from textloom.llm.reading_level import demanding, reading_levels, surface
 from textloom.llm.repetition import language, repetition, repetitive
 from textloom.llm.shared_spans import shared_spans
 from textloom.llm.source_mixing import mix, with_tokens
@@ -71,7 +71,7 @@ def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repetitive(repetition(table(spark, sf_dir, "documents"))).select("doc_id")
+    return repetitive(repetition(table(spark, sf_dir, "documents"), divergence=False)).select("doc_id")
 
 
 def p5_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,7 +107,7 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return demanding(reading_levels(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))).select("doc_id")
+    return demanding(surface(table(spark, sf_dir, "documents"))).select("doc_id")
 
 
 def p8_reading_level(spark: SparkSession, sf_dir: str) -> DataFrame:
