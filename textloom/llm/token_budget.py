@@ -4,8 +4,10 @@ Method: regression. The tokens of a document are predicted from its bytes, words
 script, with weights fitted for each language on tokenised documents; the prediction is applied to every document,
 and its totals are corrected by the ratio of true to predicted tokens on holdouts that the fit did not see.
 
-The fit takes at most ``SAMPLE_DOCS`` documents of each of at most ``LANGUAGES`` languages (by hash of the id), and tokenises
-them whole; all other figures cover all documents. The tokenizer is the table of merges: a word (text between
+The fit takes about ``SAMPLE_DOCS`` documents of each of at most ``LANGUAGES`` languages (those below a cut through the hashes of the ids, so nothing is
+ordered or shuffled to find them), and tokenises them whole; all other figures cover all documents. A language's weights are drawn towards those of all
+languages together by a ridge that counts as much as ``PRIOR`` documents: with few documents they stay near them, with many they are the language's own.
+Languages beyond the bound take the common weights. The tokenizer is the table of merges: a word (text between
 white space) starts with ``▁``, is split into characters, and adjacent pieces are joined in order of rank.
 
 Defined results: null and empty texts have 0 tokens; null names are "(none)", null or unusual languages "und"; several
@@ -19,15 +21,16 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.functions.storage import materialize
 from textloom.functions.vectext import code_points
 from textloom.llm.common import per_chunk, pick
 from textloom.llm.repetition import language
 
-SAMPLE_DOCS, LANGUAGES, LEAST_DOCS = 1500, 16, 60
+SAMPLE_DOCS, LANGUAGES, PRIOR = 1500, 64, 10
+#: Rows of a table of merges that may go to the driver.
+MERGES = 1_000_000
 #: Text columns of the features: words, digits, punctuation, ASCII letters, other Latin, Greek and Cyrillic, any other script, anything else; bytes come last.
 CLASSES, FEATURES = 7, 9
 
@@ -107,37 +110,51 @@ def _sample_rows(merges: list[tuple[int, str, str]]):
     return per_chunk(f)
 
 
-def _weights(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+def _weights(x: np.ndarray, y: np.ndarray, prior: np.ndarray | None = None) -> np.ndarray:
     """Least squares without intercept, so that predictions add up over documents; relative errors weigh alike."""
     w = 1 / np.sqrt(np.maximum(y, 20))[:, None]
     a, b = x * w, y * w[:, 0]
     scale = np.maximum(np.sqrt((a**2).sum(axis=0)), 1e-9)
     a = a / scale
-    return np.linalg.solve(a.T @ a + 1e-6 * np.eye(a.shape[1]), a.T @ b) / scale
+    pull = 1e-6 if prior is None else PRIOR / len(y)
+    towards = np.zeros(x.shape[1]) if prior is None else prior * scale
+    return np.linalg.solve(a.T @ a + pull * np.eye(a.shape[1]), a.T @ b + pull * towards) / scale
+
+
+def _sample(docs: DataFrame, sample_docs: int) -> tuple[list[str], DataFrame]:
+    """The largest languages, and ``text, language, u`` of about ``sample_docs`` documents of each; rows that repeat a ``doc_id`` are one."""
+    usable = docs.where("doc_id is not null and length(text) > 0")
+    largest = usable.groupBy("language").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "language").limit(LANGUAGES).collect()
+    u = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 52))
+    cut = F.lit(0).cast("long")
+    for r in largest:
+        cut = F.when(F.col("language") == r["language"], F.lit(min(1 << 52, (sample_docs << 52) // r["n"]))).otherwise(cut)
+    rows = usable.select("doc_id", "text", "language", u.alias("u")).where(F.col("u") < cut)
+    return [r["language"] for r in largest], rows.groupBy("doc_id", "u").agg(F.min(F.struct("language", "text")).alias("r")).select("r.text", "r.language", "u")
 
 
 def fit(docs: DataFrame, merges: DataFrame, sample_docs: int = SAMPLE_DOCS) -> tuple[dict[str, np.ndarray], DataFrame]:
     """Weights of each language, corrected on its holdout ("" is the model of all the rest), and the report of the holdouts."""
-    table = [tuple(r) for r in pick(merges, "merge_rank", "left_piece", "right_piece").where("left_piece is not null and right_piece is not null").collect()]
-    ids = docs.where("length(text) > 0").select("doc_id", "language", F.xxhash64("doc_id").alias("u"))
-    ids = ids.withColumn("r", F.row_number().over(Window.partitionBy("language").orderBy("u", "doc_id"))).where(F.col("r") <= sample_docs)
-    ids = materialize(ids, "sample-ids")
-    kept = [r["language"] for r in ids.groupBy("language").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "language").limit(LANGUAGES).collect()]
-    # At most LANGUAGES * sample_docs ids.
-    ids = ids.where(F.col("language").isin(kept)).select("doc_id", "u") if kept else ids.limit(0).select("doc_id", "u")
-    rows = docs.select("doc_id", "text", "language").join(F.broadcast(ids), "doc_id").select("text", "language", "u")
+    table = [tuple(r) for r in pick(merges, "merge_rank", "left_piece", "right_piece").where("left_piece is not null and right_piece is not null").limit(MERGES + 1).collect()]
+    if len(table) > MERGES:
+        raise ValueError(f"more than {MERGES:,} merges")
+    kept, rows = _sample(docs, sample_docs)
+    # A row of ten numbers for each document of the sample.
     rows = rows.mapInArrow(_sample_rows(table), "language string, u long, x array<double>, tokens long").toPandas()
     models, report = {}, []
     x = np.array(rows["x"].tolist()).reshape(len(rows), FEATURES)
     y, names, hold = rows["tokens"].to_numpy(np.float64), rows["language"].to_numpy(), rows["u"].to_numpy() % 3 == 0
+    common = None
     for name in ["", *kept]:
         mine = names == name if name else np.ones(len(rows), bool)
-        if mine.sum() < (LEAST_DOCS if name else 1) or not (mine & ~hold).any():
+        if not (mine & ~hold).any():
             continue
-        w = _weights(x[mine & ~hold], y[mine & ~hold])
+        w = _weights(x[mine & ~hold], y[mine & ~hold], common)
+        common = w if common is None else common
         test = mine & hold if (mine & hold).any() else mine
         predicted = np.maximum(x[test] @ w, 0)
-        bias = y[test].sum() / max(predicted.sum(), 1e-9)
+        # The correction of a small holdout is drawn towards 1 in the same way.
+        bias = (y[test].sum() + PRIOR * y[test].mean()) / max(predicted.sum() + PRIOR * y[test].mean(), 1e-9) if name else y[test].sum() / max(predicted.sum(), 1e-9)
         models[name] = w * bias
         report.append((name or "(all)", int(mine.sum()), int(test.sum()), float(bias), float(np.abs(predicted * bias - y[test]).sum() / max(y[test].sum(), 1.0))))
     return models, docs.sparkSession.createDataFrame(report, "language string, docs long, holdout_docs long, bias double, relative_error double")
