@@ -6,12 +6,12 @@ u/(1-u) over p/(1-p), and the first ones are taken until the source has its toke
 size with unequal probabilities. u comes from a hash of the id and a seed, so a lost executor redraws the same.
 
 Per source, the driver holds totals and histograms of fixed size only; the rank at which to cut is found by two
-levels of bins, and only the rows of the last bin are ordered.
+levels of bins, only the rows of the last bin are ordered, and one filter takes what lies below the cut.
 
 Defined results: rows that repeat a ``doc_id`` are one document (the largest); rows without ``doc_id`` are not used; documents of null or unlisted sources are not used; a listed source without documents contributes nothing;
 null and empty texts have no tokens and are not used; a source that ``max_repeats`` keeps from its share gives
 everything, ``max_repeats`` times, and the others keep their proportions; null, negative and zero shares give nothing.
-Weights are taken in steps of 9 %.
+Weights enter the inclusion odds as they are; only the factor common to a source is found from a histogram of the weights.
 """
 
 from __future__ import annotations
@@ -74,35 +74,47 @@ def _scale(tokens: np.ndarray, weight: np.ndarray, most: int, target: float) ->
     return math.inf
 
 
-def _cut(rows: DataFrame, need: dict[str, float]) -> DataFrame:
-    """Of ``source, doc_id, z, tokens``, the documents of smallest z of each source whose tokens come nearest to the need."""
+def _cuts(rows: DataFrame, need: dict[str, float]) -> list[tuple[str, float, int]]:
+    """Of ``source, doc_id, z, tokens``: for each source the last (z, doc_id) to take, so that the tokens up to it come nearest to the need."""
     spark = rows.sparkSession
-    low = {s: -64.0 for s in need}
-    width = {s: 128.0 / BINS for s in need}
-    left, taken = dict(need), None
-    rest = rows
+    low, width = {s: -64.0 for s in need}, {s: 128.0 / BINS for s in need}
+    left, cuts, rest = dict(need), {}, rows
+    last = (1 << 63) - 1
     for _ in range(2):
-        bounds = spark.createDataFrame([(s, low[s], width[s]) for s in need], "source string, low double, width double")
-        rest = rest.join(F.broadcast(bounds), "source").withColumn("bin", F.least(F.greatest(F.floor((F.col("z") - F.col("low")) / F.col("width")), F.lit(0)), F.lit(BINS - 1)).cast("int")).drop("low", "width")
-        at: dict[str, int] = {}
-        for r in rest.groupBy("source", "bin").agg(F.sum("tokens").alias("n")).orderBy("source", "bin").collect():  # sources x BINS at most
+        open_ = [s for s in need if s not in cuts]
+        if not open_:
+            break
+        bounds = spark.createDataFrame([(s, low[s], width[s]) for s in open_], "source string, low double, width double")
+        at = F.floor((F.col("z") - F.col("low")) / F.col("width"))
+        binned = rest.join(F.broadcast(bounds), "source").withColumn("bin", F.least(F.greatest(at, F.lit(0)), F.lit(BINS - 1)).cast("int")).drop("low", "width")
+        found: dict[str, int] = {}
+        for r in binned.groupBy("source", "bin").agg(F.sum("tokens").alias("n")).orderBy("source", "bin").collect():  # sources x BINS at most
             s = r["source"]
-            if s not in at:
+            if s not in found:
                 if r["n"] > left[s]:
-                    at[s] = r["bin"]
+                    found[s] = r["bin"]
                 else:
                     left[s] -= r["n"]
-        cuts = spark.createDataFrame([(s, at.get(s, BINS)) for s in need], "source string, cut int")
-        rest = rest.join(F.broadcast(cuts), "source")
-        below = rest.where("bin < cut").select("source", "doc_id", "tokens")
-        taken = below if taken is None else taken.unionByName(below)
-        rest = rest.where("bin = cut").drop("bin", "cut")
-        low = {s: low[s] + width[s] * at.get(s, 0) for s in need}
-        width = {s: width[s] / BINS for s in need}
-    open_ = spark.createDataFrame([(s, left[s]) for s in need], "source string, need double")
+        for s in open_:
+            if s not in found:
+                cuts[s] = (math.inf, last)  # all of it
+        if not found:
+            return [(s, *c) for s, c in cuts.items()]
+        bins = spark.createDataFrame(list(found.items()), "source string, cut int")
+        rest = binned.join(F.broadcast(bins), "source").where("bin = cut").drop("bin", "cut")
+        for s, b in found.items():
+            low[s] += width[s] * b
+            width[s] /= BINS
+    needs = spark.createDataFrame([(s, left[s]) for s in need if s not in cuts], "source string, need double")
     ordered = Window.partitionBy("source").orderBy("z", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    rest = rest.join(F.broadcast(open_), "source").withColumn("sum", F.sum("tokens").over(ordered))
-    return taken.unionByName(rest.where(F.col("sum") - F.col("tokens") / 2 <= F.col("need")).select("source", "doc_id", "tokens"))
+    rest = rest.join(F.broadcast(needs), "source").withColumn("sum", F.sum("tokens").over(ordered))
+    ends = rest.groupBy("source").agg(
+        F.max(F.when(F.col("sum") - F.col("tokens") / 2 <= F.col("need"), F.struct("z", "doc_id"))).alias("in"), F.min(F.struct("z", "doc_id")).alias("first")
+    )
+    for r in ends.collect():  # a row for each source
+        z, d = r["in"] or r["first"]
+        cuts[r["source"]] = (z, d if r["in"] else d - 1)
+    return [(s, *c) for s, c in cuts.items()]
 
 
 def mix(docs: DataFrame, targets: DataFrame, total: int | None = None, seed: int = 0) -> tuple[DataFrame, DataFrame]:
@@ -118,35 +130,33 @@ def mix(docs: DataFrame, targets: DataFrame, total: int | None = None, seed: int
     docs, targets = pick(docs, "doc_id", "source", "tokens", "weight"), pick(targets, "source", "target_share", "max_repeats")
     goals = targets.select("source", F.coalesce("target_share", F.lit(0.0)).alias("share"), F.coalesce("max_repeats", F.lit(1)).alias("most")).orderBy("source").collect()  # a row for each source
     key = {r["source"]: r["k"] for r in targets.select("source", plain_name(F.col("source")).alias("k")).collect()}
-    step = F.greatest(F.lit(-400), F.least(F.lit(400), F.round(F.log2("weight") * 8))).cast("int")
-    rows = docs.where("doc_id is not null and tokens > 0 and weight > 0").select("doc_id", plain_name(F.col("source")).alias("source"), "tokens", step.alias("step"))
-    rows = rows.where(F.col("source").isin([*key.values()])).groupBy("doc_id").agg(F.max(F.struct("tokens", "source", "step")).alias("r")).select("doc_id", "r.*")
+    rows = docs.where("doc_id is not null and tokens > 0 and weight > 0").select("doc_id", plain_name(F.col("source")).alias("source"), "tokens", F.col("weight").cast("double").alias("weight"))
+    rows = rows.where(F.col("source").isin([*key.values()])).groupBy("doc_id").agg(F.max(F.struct("tokens", "source", "weight")).alias("r")).select("doc_id", "r.*")
     rows = materialize(rows, "sized")
-    held: dict[str, list[tuple[int, int]]] = {}
-    for r in rows.groupBy("source", "step").agg(F.sum("tokens").alias("n")).collect():  # sources x 801 at most
-        held.setdefault(r["source"], []).append((r["step"], r["n"]))
+    step = F.greatest(F.lit(-400), F.least(F.lit(400), F.floor(F.log2("weight") * 8))).alias("step")
+    held: dict[str, list[tuple[float, int]]] = {}
+    for r in rows.groupBy("source", step).agg(F.sum("tokens").alias("n"), F.sum(F.col("tokens") * F.col("weight")).alias("w")).collect():  # sources x 801 at most
+        held.setdefault(r["source"], []).append((r["w"] / r["n"], r["n"]))
     total = total if total is not None else sum(n for v in held.values() for _, n in v)
-    plan: dict[str, tuple[float, int]] = {}
-    need: dict[str, float] = {}
+    plan: list[tuple[str, float, int]] = []
     for g in goals:
         k, most = key[g["source"]], max(0, g["most"])
         if k in held and g["share"] > 0 and most:
-            n = np.array([x for _, x in held[k]], float)
-            w = 2.0 ** (np.array([s for s, _ in held[k]]) / 8)
+            w, n = (np.array(x, float) for x in zip(*held[k]))
             factor = _scale(n, w, most, g["share"] * total)
-            copies = np.minimum(most, factor * w) if factor < math.inf else np.full(len(w), float(most))
-            plan[k] = (float(factor) if factor < math.inf else 1e18, most)
-            need[k] = float((n * (copies - np.floor(copies))).sum())
-    parts = spark.createDataFrame([(k, f, m) for k, (f, m) in plan.items()], "source string, factor double, most int")
-    copies = F.least(F.col("most").cast("double"), F.col("factor") * F.pow(F.lit(2.0), F.col("step") / 8))
+            plan.append((k, float(factor) if factor < math.inf else 1e300, most))
+    parts = spark.createDataFrame(plan, "source string, factor double, most int")
+    copies = F.least(F.col("most").cast("double"), F.col("factor") * F.col("weight"))
     rows = rows.join(F.broadcast(parts), "source").withColumn("whole", F.floor(copies).cast("int")).withColumn("p", copies - F.floor(copies))
     u = (F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 52)) + F.lit(0.5)) / F.lit(float(1 << 52))
     z = F.log(u / (1 - u)) - F.log(F.col("p") / (1 - F.col("p")))  # the logarithm keeps the order
-    drawn = _cut(rows.where("p > 0").select("source", "doc_id", z.alias("z"), "tokens"), need) if need else rows.select("source", "doc_id", "tokens").limit(0)
-    certain = rows.where("whole > 0").select("doc_id", "source", "tokens", F.col("whole").alias("copies"))
-    chosen = certain.unionByName(drawn.select("doc_id", "source", "tokens", F.lit(1).alias("copies")))
-    # A document can be in both parts.
-    chosen = materialize(chosen.groupBy("doc_id", "source", "tokens").agg(F.sum("copies").cast("int").alias("copies")), "mix")
+    rows = rows.select("doc_id", "source", "tokens", "whole", "p", F.when(F.col("p") > 0, z).alias("z"))
+    open_ = rows.where("p > 0").select("source", "doc_id", "z", "tokens", "p")
+    need = {r["source"]: r["n"] for r in open_.groupBy("source").agg(F.sum(F.col("tokens") * F.col("p")).alias("n")).collect()}
+    cuts = spark.createDataFrame(_cuts(open_, need) if need else [], "source string, z_cut double, id_cut long")
+    drawn = F.coalesce((F.col("z") < F.col("z_cut")) | ((F.col("z") == F.col("z_cut")) & (F.col("doc_id") <= F.col("id_cut"))), F.lit(False))
+    chosen = rows.join(F.broadcast(cuts), "source", "left").select("doc_id", "source", "tokens", (F.col("whole") + drawn.cast("int")).alias("copies"))
+    chosen = materialize(chosen.where("copies > 0"), "mix")
     sums = {r["source"]: r for r in chosen.groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("n"), F.count(F.lit(1)).alias("docs")).collect()}
     taken = sum(r["n"] for r in sums.values())
     report = []
