@@ -89,6 +89,24 @@ def test_budget_edges(documents, no_documents, spark):
     assert tb.token_budget(documents, meta.limit(0), merges.limit(0)).where("slice = 'total'").first()["est_tokens"] > 0
 
 
+def test_few_documents_of_many_languages(spark, data, monkeypatch):
+    """A language of a handful of documents has weights near the common ones; languages beyond the bound have these."""
+    docs, merges = (spark.read.parquet(f"{data}/{n}.parquet") for n in ("documents", "tokenizer_merges"))
+    docs = docs.selectExpr("doc_id", "text", "concat('l', chr(97 + doc_id % 20)) as lang", "source", "domain")
+    monkeypatch.setattr(tb, "LANGUAGES", 12)
+    report = tb.fit(docs.withColumnRenamed("lang", "language"), merges)[1].collect()
+    assert len(report) == 13 and all(0.5 < r["bias"] < 2 and r["relative_error"] < 0.35 for r in report)
+    assert tb.estimates(docs, merges).where("n_bytes > 100 and milli_tokens = 0").count() == 0
+
+
+def test_sample_is_bounded_with_a_hot_id(spark, data):
+    merges = spark.read.parquet(f"{data}/tokenizer_merges.parquet")
+    rows = [(7, "the same text again", "en")] * 500 + [(None, "no id", "en")] * 500 + [(i, f"text number {i}", "en") for i in range(1000, 3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, language string")
+    n = tb.fit(docs, merges, sample_docs=300)[1].where("language = 'en'").first()["docs"]
+    assert 150 < n < 450
+
+
 def sized(spark, n=4000):
     rows = [(i, ("Big", "small", "MID ", "odd", None)[0 if i % 3 == 0 else 1 + i % 4], 1 + i * 7919 % 200) for i in range(n)]
     return spark.createDataFrame(rows, "doc_id long, source string, tokens long")

@@ -48,8 +48,8 @@ def frames(spark):
 
 def test_exact(spark):
     items, docs = frames(spark)
-    for block in (k.BLOCK_CHARS, 60):
-        rows = [tuple(r) for r in k.leaked_items(k.leaks(items, docs, block_chars=block)).collect()]
+    for block, edits in ((k.BLOCK_CHARS, 2), (60, 2), (60, 0), (k.BLOCK_CHARS, 0)):
+        rows = [tuple(r) for r in k.leaked_items(k.leaks(items, docs, edits=edits, block_chars=block)).collect()]
         assert len(rows) == len(set(rows)) and set(rows) == brute()
 
 

@@ -6,11 +6,13 @@ neighbouring diagonals (position in the document minus position in the piece).
 
 1. Items and documents are reduced to their words, in lower case, one space apart. A piece is ``run``
    consecutive words of an item (all of them if it has fewer), for every start.
-2. The q-grams of all items form one table. It is small: its size is checked, and items beyond
-   the bound are taken in several blocks against all documents, not in one.
-3. Each document is read once per block: its q-grams are looked up, each hit counts for two overlapping bands
+2. The q-grams of all items form one table. It is small: its size is checked. Items beyond the bound are taken in several blocks;
+   then one pass over the corpus keeps the documents that have as many q-grams of any item as the lemma asks for at least (by a bitmap of fixed size, which loses none), and
+   the blocks are matched against these alone.
+3. The q-grams of each document are looked up, each hit counts for two overlapping bands
    of its item, and bands with fewer hits than the lemma asks for are dropped.
-4. In the regions left, each piece is verified by alignment within a band of 2 k + 1 cells per character.
+4. In the regions left, each piece is verified by alignment within a band of 2 k + 1 cells per character. With no edits allowed the band is a
+   single diagonal, and the alignment is a comparison.
 
 Exact matches are the case of no edits; the lemma loses none. The edits of a piece are at most
 ``edits`` and so few that at least one q-gram must be shared.
@@ -28,12 +30,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textloom.functions.storage import materialize
 from textloom.functions.vectext import U, Words, code_points, gram_hash
 from textloom.llm.common import per_chunk, pick
 
 Q = 16
 #: Characters of items that one block's table may hold; a table takes about 100 bytes for each.
 BLOCK_CHARS = 1 << 20
+#: Bits of the map of all items' q-grams, where there are several blocks.
+MAP_BITS = 27
 
 
 def edit_distance(a: str, b: str, most: int) -> int:
@@ -66,7 +71,7 @@ class Pieces:
     """The q-gram table of some items: sorted hashes, and the (item, position) pairs of each."""
 
     def __init__(self, items: list[tuple[int, str]], run: int, edits: int, q: int = Q):
-        self.run, self.q, self.items, self.pieces, self.least, self.reach = run, q, [], [], [], []
+        self.run, self.q, self.items, self.pieces, self.least, self.reach, self.size = run, q, [], [], [], [], []
         hashes, where = [], []
         for item_id, text in items:
             w = Words([text.lower()], hashed=False)
@@ -84,6 +89,7 @@ class Pieces:
             self.pieces.append(pieces)
             self.reach.append(max(map(len, pieces)) + 2 + k)
             self.least.append(short - size + 1 - k * size)
+            self.size.append(size)
             g = gram_hash(code_points(line), size)
             hashes.append(g ^ U(size))
             where.append(np.stack([np.full(len(g), n), np.arange(len(g))], axis=1))
@@ -130,23 +136,55 @@ class Pieces:
         return found
 
 
+def _line(texts: list[str | None]) -> tuple[Words, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words of the texts; all of them one space apart, with a space on either side; the text of each code point (-1 at the end); starts and sizes of the words therein."""
+    w = Words([(t or "").lower() for t in texts], hashed=False)
+    # A text is rewritten by shifting its code points.
+    size = w.end - w.start
+    out = np.full(int(size.sum() + len(size) + 1), 32, np.uint32)
+    start = np.cumsum(size + 1) - size
+    before = np.cumsum(size) - size
+    step = np.arange(int(size.sum()))
+    out[np.repeat(start - before, size) + step] = w.cp[np.repeat(w.start - before, size) + step]
+    doc = np.full(len(out), -1)
+    doc[:-1] = np.repeat(w.doc, size + 1)
+    return w, out, doc, start, size
+
+
+def _map_of(tables: list[Pieces]) -> tuple[np.ndarray, dict[int, int]]:
+    """A bitmap of the q-grams of all tables, and for each size of q-gram the least number of hits that an item asks for."""
+    bits = np.zeros(1 << (MAP_BITS - 3), np.uint8)
+    least: dict[int, int] = {}
+    for t in tables:
+        at = (t.hash >> U(64 - MAP_BITS)).astype(np.int64)
+        np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
+        for size in t.sizes:
+            least[size] = min([least.get(size, 1 << 60), *(n for n, s in zip(t.least.tolist(), t.size) if s == size)])
+    return bits, least
+
+
+def _candidate_rows(bits: np.ndarray, least: dict[int, int]):
+    """Documents with as many q-grams of the items as one of these asks for."""
+
+    def f(batch: pa.RecordBatch) -> pa.RecordBatch:
+        w, line, doc, _, _ = _line(batch.column("text").to_pylist())
+        keep = np.zeros(w.n_docs, bool)
+        for size, n in least.items():
+            at = ((gram_hash(line, size) ^ U(size)) >> U(64 - MAP_BITS)).astype(np.int64)
+            hit = (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+            mine = doc[: len(at)][hit]
+            keep |= np.bincount(mine[mine >= 0], minlength=w.n_docs) >= n
+        return batch.filter(pa.array(keep))
+
+    return per_chunk(f)
+
+
 def _leak_rows(table: Pieces):
     schema = pa.schema([("item_id", pa.int64()), ("doc_id", pa.int64()), ("edits", pa.int32()), ("pieces", pa.int32()), ("matched", pa.int32())])
 
     def f(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        ids, lines = batch.column("doc_id").to_pylist(), []
-        for t in batch.column("text").to_pylist():
-            t = (t or "").lower()
-            lines.append(t)
-        w = Words(lines, hashed=False)
-        # The words, one space apart, with a space on either side: a text is rewritten by shifting its code points.
-        size = w.end - w.start
-        out = np.full(int(size.sum() + len(size) + 1), 32, np.uint32)
-        start = np.cumsum(size + 1) - size
-        take = np.repeat(w.start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-        out[np.repeat(start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))] = w.cp[take]
-        doc = np.full(len(out), -1)
-        doc[:-1] = np.repeat(w.doc, size + 1)
+        ids = batch.column("doc_id").to_pylist()
+        w, out, doc, start, size = _line(batch.column("text").to_pylist())
         rows = []
         for (d, i), spans in table.regions(out, doc).items():
             a, b = int(start[w.first[d]]) - 1, int(start[w.first[d + 1] - 1] + size[w.first[d + 1] - 1]) + 1
@@ -170,17 +208,24 @@ def leaks(items: DataFrame, docs: DataFrame, run: int = 13, edits: int = 2, bloc
     """``item_id, doc_id, edits, pieces, matched`` of every item of which a piece stands in a document with at most ``edits`` edits.
 
     ``edits`` is the least over the pieces, 0 for an exact match; ``matched`` of the item's ``pieces`` match.
-    Items (a bounded set: they are held-out questions, not the corpus) go to the driver a block at a time.
+    Items (a bounded set: they are held-out questions, not the corpus) go to the driver a block at a time. With ``edits`` 0 nothing is aligned beyond a comparison.
     """
     items = pick(items, "item_id", "text").where("item_id is not null and text is not null").distinct()
     size = F.length("text") + 2
     blocks = int(items.agg(F.coalesce(F.sum(size), F.lit(0)).alias("n")).first()["n"]) // block_chars + 1
     docs = pick(docs, "doc_id", "text").where("doc_id is not null and text is not null")
     schema = "item_id long, doc_id long, edits int, pieces int, matched int"
+    part = lambda b: Pieces([(r["item_id"], r["text"]) for r in items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).collect()], run, edits)
+    if blocks > 1:
+        bits, least = np.zeros(1 << (MAP_BITS - 3), np.uint8), {}
+        for b in range(blocks):  # one block at a time on the driver
+            more, fewest = _map_of([t] if (t := part(b)).items else [])
+            bits |= more
+            least = {s: min(least.get(s, 1 << 60), fewest.get(s, 1 << 60)) for s in least.keys() | fewest.keys()}
+        docs = materialize(docs.mapInArrow(_candidate_rows(bits, least), "doc_id long, text string"), "candidates")
     found = None
     for b in range(blocks):
-        part = [(r["item_id"], r["text"]) for r in items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).collect()]
-        table = Pieces(part, run, edits)
+        table = part(b)
         if table.items:
             rows = docs.mapInArrow(_leak_rows(table), schema)
             found = rows if found is None else found.unionByName(rows)

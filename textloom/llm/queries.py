@@ -80,7 +80,7 @@ def p5_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return leaked_items(leaks(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents")))
+    return leaked_items(leaks(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"), edits=0))
 
 
 def p6_partial_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,11 +89,8 @@ def p6_partial_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _mix(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text", F.xxhash64("text").alias("h"), F.length("text").alias("n"))
-    docs = materialize(with_tokens(docs), "tokens")
-    # The copies of one text share the odds of a single one.
-    shared = docs.groupBy("h", "n").agg(F.count(F.lit(1)).alias("same"))
-    return mix(docs.join(shared, ["h", "n"]).select("doc_id", "source", "tokens", (1 / F.col("same")).alias("weight")), table(spark, sf_dir, "mix_targets"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return mix(materialize(with_tokens(docs), "tokens"), table(spark, sf_dir, "mix_targets"))
 
 
 def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
