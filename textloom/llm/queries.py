@@ -11,6 +11,7 @@ from textloom.functions.storage import materialize, table
 from textloom.llm.formatting_duplicates import copies, record_tuples
 from textloom.llm.leakage import leaked_items, leaks
 from textloom.llm.near_duplicates import near_duplicate_groups, near_duplicates, similar_pairs
+from textloom.llm.oracles import SQL  # noqa: F401
 from textloom.llm.reading_level import demanding, reading_levels, surface
 from textloom.llm.repetition import language, repetition, repetitive
 from textloom.llm.shared_spans import shared_spans
@@ -130,5 +131,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p8_found": p8_found,
     "p8_reading_level": p8_reading_level,
 }
-
-SQL: dict[str, str] = {}
