@@ -7,7 +7,6 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from textloom.plans import suffix_queries
 from textloom.plans.catalogue import QUERIES, SQL
 
 
@@ -27,21 +26,6 @@ def duck(data):
     return con
 
 
-@pytest.fixture(autouse=True, scope="module")
-def one_suffix_array():
-    """The queries over suffix order share one array here; each builds its own otherwise."""
-    built, build = {}, suffix_queries._suffixes
-
-    def once(spark, sf_dir):
-        if sf_dir not in built:
-            built[sf_dir] = build(spark, sf_dir)
-        return built[sf_dir]
-
-    suffix_queries._suffixes = once
-    yield
-    suffix_queries._suffixes = build
-
-
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, data, duck, name):
     df = QUERIES[name](spark, data)

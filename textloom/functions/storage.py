@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _MADE: list[tuple[SparkSession, str]] = []
 
@@ -15,10 +16,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fingerprint(df: DataFrame) -> str:
+    """A hash of the files that a table is read from: names, sizes and times, not rows."""
+    files = df.select(*(F.col(f"_metadata.file_{c}").alias(c) for c in ("path", "size", "modification_time"))).distinct()
+    return "%016x" % (int(files.agg(F.coalesce(F.sum(F.xxhash64("path", "size", "modification_time").cast("decimal(38,0)")), F.lit(0)).alias("h")).first()["h"]) % (1 << 64))
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a local folder only where that is unset (tests, one machine)."""
+    """``spark.checkpoint.dir`` of the session; a local folder only where that is unset on one machine (tests). On a cluster there must be one."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set: intermediate tables need a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="textloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -39,7 +48,7 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
 
 @atexit.register
 def release() -> None:
-    """Delete the tables that ``materialize`` wrote; plans that read them are invalid afterwards."""
+    """Delete the tables that ``materialize`` wrote; plans that read them are invalid afterwards. A long session calls it between jobs."""
     while _MADE:
         spark, path = _MADE.pop()
         try:

@@ -1,9 +1,6 @@
 """Suffix order as a table: ranks, BWT, LCP, and what follows from them.
 
-A stream per shard is ``0xFF text 0xFF text ... 0xFA``. The suffix array is built by prefix doubling on DataFrames: suffixes
-start with the rank of their first ``HEAD`` bytes; in each round, ties only are ranked again by the rank of the suffix that many
-bytes further on. Ranks are numbers of smaller rows, added up from counts per distinct key, so equal keys never meet in a
-task. A round doubles the length compared; long copies need log2(length / HEAD) rounds.
+The order itself comes from ``suffix_sort``; these operators take its rows ``shard, rank, ptr, byte, bwt, head``.
 """
 
 from __future__ import annotations
@@ -14,82 +11,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions.storage import materialize
-from textloom.operators.corpus import number
+from textloom.operators import suffix_sort
 
-HEAD = 32
 #: Positions that one task takes in order.
 BLOCK = 1 << 16
-SEP, END = 0xFF, 0xFA
-
-
-def stream(docs: DataFrame) -> DataFrame:
-    """``shard, ptr, head, byte, prev``: each byte of the streams with the ``HEAD`` bytes from it on (fewer at a document's end).
-
-    A head stops after the separator that ends the document, whose order among bytes decides; ties go on in later rounds.
-    """
-    docs = number(docs.where("text is not null").select("shard", "doc_id", "text"))
-    last = docs.groupBy("shard").agg(F.max("local_doc_ix").alias("_last"))
-    docs = docs.join(F.broadcast(last), "shard").select("shard", "data_offset", "text", (F.col("local_doc_ix") == F.col("_last")).alias("ends"))
-    schema = pa.schema([("shard", pa.int64()), ("ptr", pa.int64()), ("head", pa.binary()), ("byte", pa.int32()), ("prev", pa.int32())])
-
-    def f(it):
-        for batch in it:
-            for shard, at, text, ends in zip(*(batch.column(c).to_pylist() for c in ("shard", "data_offset", "text", "ends"))):
-                data = bytes([SEP]) + text.encode("utf-8", "surrogatepass")
-                tail = bytes([END]) if ends else bytes([SEP])
-                n = len(data) + ends
-                whole = data + tail
-                for lo in range(0, n, 1 << 16):
-                    hi = min(n, lo + (1 << 16))
-                    b = np.frombuffer(whole[lo:hi], np.uint8).astype(np.int32)
-                    # What stands before the separator of a document is known there only if it is the stream's start.
-                    p = np.r_[-1 if lo == 0 else whole[lo - 1], b[:-1]].astype(np.int32)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(hi - lo, shard, np.int64)), pa.array(np.arange(at + lo, at + hi)), pa.array([whole[i : i + HEAD] for i in range(lo, hi)], pa.binary()), pa.array(b), pa.array(p)], schema=schema)
-
-    return docs.select(F.col("shard").cast("long").alias("shard"), "data_offset", "text", "ends").mapInArrow(f, "shard long, ptr long, head binary, byte int, prev int")
-
-
-def ranks(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
-    """Adds to ``rows`` the number of rows of the same shard with smaller ``keys``.
-
-    Distinct keys are range-partitioned and counted; each partition adds up its own, and the few totals of the partitions are added to them.
-    """
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    counts = rows.groupBy("shard", *keys).agg(F.count(F.lit(1)).alias("_n")).repartitionByRange(n, "shard", *keys).withColumn("_p", F.spark_partition_id())
-    counts = materialize(counts, "key-counts")
-    within = Window.partitionBy("shard", "_p").orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
-    totals = counts.groupBy("shard", "_p").agg(F.sum("_n").alias("_total"))  # at most shards + partitions rows
-    before = Window.partitionBy("shard").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    base = totals.select("shard", "_p", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_base"))
-    placed = counts.withColumn("_w", F.coalesce(F.sum("_n").over(within), F.lit(0))).join(F.broadcast(base), ["shard", "_p"])
-    return rows.join(placed.select("shard", *keys, (F.col("_w") + F.col("_base")).cast("long").alias(name), (F.col("_n") == 1).alias("_alone")), ["shard", *keys])
 
 
 def suffix_array(docs: DataFrame) -> DataFrame:
-    """``shard, rank, ptr, byte, bwt, head``: every suffix of every shard in order."""
-    bytes_ = materialize(stream(docs), "stream")
-    current = materialize(ranks(bytes_.select("shard", "ptr", "head"), ["head"], "rank").select("shard", "ptr", "rank", "_alone", F.octet_length("head").alias("len")), "ranks")
-    # A head is as long as the bytes it compares: HEAD, or up to and with the separator after the document.
-    while True:
-        ties = current.where(~F.col("_alone"))
-        if ties.isEmpty():
-            break
-        further = current.select("shard", F.col("ptr").alias("_q"), F.col("rank").alias("_r"), F.col("len").alias("_l"))
-        joined = ties.withColumn("_q", F.col("ptr") + F.col("len")).join(further, ["shard", "_q"], "left")
-        joined = joined.select("shard", "ptr", F.col("rank").alias("_a"), F.coalesce("_r", F.lit(-1).cast("long")).alias("_b"), (F.col("len") + F.coalesce("_l", F.lit(0))).alias("len"))
-        # Within a tie, the rank is the tie's plus the number of its rows with a smaller continuation.
-        again = ranks(joined, ["_a", "_b"], "_g")
-        first = again.groupBy("shard", "_a").agg(F.min("_g").alias("_f"))
-        again = again.join(first, ["shard", "_a"]).select("shard", "ptr", (F.col("_a") + F.col("_g") - F.col("_f")).alias("rank"), "_alone", "len")
-        current = materialize(current.where("_alone").unionByName(again), "ranks")
-    last = bytes_.groupBy("shard").agg(F.max_by("byte", "ptr").alias("_end"))
-    out = current.select("shard", "ptr", "rank").join(bytes_, ["shard", "ptr"])
-    # The byte before a document's separator is the last one of the document before; the first suffix is preceded by the terminator.
-    before = bytes_.select("shard", (F.col("ptr") + 1).alias("ptr"), F.col("byte").alias("_before"))
-    starts = out.where("prev = -1").join(before, ["shard", "ptr"], "left").join(F.broadcast(last), "shard").withColumn("bwt", F.coalesce("_before", "_end"))
-    rest = out.where("prev <> -1").withColumn("bwt", F.col("prev"))
-    cols = ["shard", "rank", "ptr", "byte", "bwt", "head"]
-    return rest.select(*cols).unionByName(starts.select(*cols))
+    """``shard, rank, ptr, byte, bwt, head``: every suffix of every shard of ``shard, doc_id, text`` in order."""
+    text = materialize(suffix_sort.blocks(docs), "text-blocks")
+    return suffix_sort.rows(materialize(suffix_sort.pages(text, suffix_sort.ranks(text)), "pages"))
 
 
 def latest(rows: DataFrame, keys: list[str], by: str, value: str, name: str) -> DataFrame:
@@ -104,8 +35,8 @@ def latest(rows: DataFrame, keys: list[str], by: str, value: str, name: str) ->
     return rows.withColumn("_in", F.max(value).over(within)).join(base, [*keys, "_block"]).withColumn(name, F.coalesce("_in", "_base")).drop("_in", "_base", "_block")
 
 
-def lcp(suffixes: DataFrame) -> DataFrame:
-    """``shard, rank, lcp``: bytes that each suffix shares with the one before it in order.
+def lcp(suffixes: DataFrame, text: DataFrame | None = None) -> DataFrame:
+    """``shard, rank, lcp``: bytes that each suffix shares with the one before it in order. ``text`` are the streams' blocks, if they are at hand.
 
     Only where the bytes before the two differ are they compared: by their heads, then by windows that grow from 256 bytes to 16 KB. Elsewhere both
     are followed up by the suffixes one byte further left, which are neighbours as well and share one byte more.
@@ -120,7 +51,7 @@ def lcp(suffixes: DataFrame) -> DataFrame:
     done = pairs.where("_c and not _more").select("shard", "ptr", "lcp")
     open_ = pairs.where("_more").select("shard", "ptr", "q", "lcp")
     size = 256
-    pieces = materialize(_blocks(suffixes), "bytes")
+    pieces = materialize(_blocks(suffixes) if text is None else _pieces(text), "bytes")
     while not open_.isEmpty():
         windows = _windows(pieces, size)
         step = open_
@@ -151,6 +82,19 @@ def _blocks(suffixes: DataFrame) -> DataFrame:
     return rows.groupBy("shard", "_block").applyInArrow(f, "shard long, _b long, _piece binary")
 
 
+def _pieces(text: DataFrame) -> DataFrame:
+    """The same from blocks of a multiple of 256 bytes."""
+
+    def f(it):
+        for batch in it:
+            for s, b, n, data in zip(*(batch.column(c).to_pylist() for c in ("shard", "blk", "size", "data"))):
+                at = range(0, n, 256)
+                first = b * (suffix_sort.BLOCK // 256)
+                yield pa.RecordBatch.from_pydict({"shard": pa.array([s] * len(at)), "_b": pa.array([first + i for i in range(len(at))]), "_piece": pa.array([data[1 + o : 1 + min(n, o + 256)] for o in at], pa.binary())})
+
+    return text.mapInArrow(f, "shard long, _b long, _piece binary")
+
+
 def _windows(pieces: DataFrame, size: int) -> DataFrame:
     """``shard, _c, _bytes``: the ``2 size`` bytes from each multiple of ``size`` on."""
     n = size // 256
@@ -202,13 +146,6 @@ def c_array(symbols: DataFrame, symbol: str = "byte") -> DataFrame:
     return n.withColumn("smaller", F.coalesce(F.sum("n").over(by), F.lit(0)).cast("long"))
 
 
-def interval_of(suffixes: DataFrame, needle: bytes) -> DataFrame:
-    """``shard, lo, hi`` of the suffixes that begin with a needle of at most ``HEAD`` bytes (hi exclusive): forward search by comparing heads."""
-    head = F.substring(F.col("head"), 1, len(needle))
-    word = F.unhex(F.lit(needle.hex()))
-    return suffixes.groupBy("shard").agg(F.count_if(F.col("head") < word).alias("lo"), F.count_if(head == word).alias("_n")).select("shard", "lo", (F.col("lo") + F.col("_n")).alias("hi"))
-
-
 def _nearest_smaller(v: list[int]) -> tuple[list[int], list[int]]:
     """Places of the nearest smaller values before and after each one; -1 and len(v) without any."""
     prev, after, stack = [-1] * len(v), [len(v)] * len(v), []

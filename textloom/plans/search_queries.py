@@ -41,12 +41,14 @@ def doc_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("query_id").agg(F.count_distinct("doc_id").alias("n_docs"))
 
 
-@query(
-    " UNION ALL ".join(
-        f"SELECT {i} AS case_id, CAST(coalesce(sum(" + ("len(list_filter(range(1, length(text) + 1), lambda i: substr(text, i, 2) = 'ss'))" if q == "ss" else f"(length(text) - length(replace(text, {'chr(10)' if q == chr(10) else repr(q) if chr(92) not in q else chr(39) + q + chr(39)}, ''))) // {len(q)}") + "), 0) AS BIGINT) AS count FROM documents"
-        for i, q in enumerate(CASES)
-    )
-)
+def _count_case(i: int, q: str) -> str:
+    """SQL for the count of one needle; one that overlaps itself is tried at every position."""
+    quoted = "chr(10)" if q == "\n" else f"'{q}'"
+    n = f"len(list_filter(range(1, length(text) + 1), lambda i: substr(text, i, {len(q)}) = {quoted}))" if needle.overlaps_itself(q) else f"(length(text) - length(replace(text, {quoted}, ''))) // {len(q)}"
+    return f"SELECT {i} AS case_id, CAST(coalesce(sum({n}), 0) AS BIGINT) AS count FROM documents"
+
+
+@query(" UNION ALL ".join(_count_case(i, q) for i, q in enumerate(CASES)))
 def count_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Single needles as expressions: words, capitals, accents, line ends, overlaps, absent and pattern-like ones."""
     totals = _docs(spark, sf_dir).agg(*(F.coalesce(F.sum(needle.occurrences(F.col("text"), q)), F.lit(0)).alias(f"c{i}") for i, q in enumerate(CASES)))
@@ -137,7 +139,7 @@ _NUMBERED = """o AS (SELECT shard, doc_id, text, CAST(row_number() OVER (PARTITI
 
 @query(f"WITH {_NUMBERED} SELECT shard, doc_id, local_doc_ix, doc_ix, data_offset FROM o")
 def doc_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus.number(_docs(spark, sf_dir)).select("shard", "doc_id", "local_doc_ix", "doc_ix", "data_offset")
+    return corpus.places(_docs(spark, sf_dir)).select("shard", "doc_id", "local_doc_ix", "doc_ix", "data_offset")
 
 
 @query(

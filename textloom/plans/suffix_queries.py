@@ -1,7 +1,7 @@
 """Suffix order: queries over the evaluation items (a fixed table, in four shards) with their SQL, and the same queries over the whole corpus.
 
-``corpus_*`` take every text of ``documents`` in the table's own shards. They have no SQL (a key of the rest of the stream for each byte is too much for
-DuckDB); the tests compare them with brute force.
+``corpus_*`` and ``*_indexed`` take every text of ``documents`` in the table's own shards, from one stored index that the first of them builds. Where SQL would need
+a key of the rest of the stream for each byte there is none; the tests compare these with brute force.
 """
 
 from __future__ import annotations
@@ -9,9 +9,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.functions.storage import materialize, table
-from textloom.operators import suffix
+from textloom.functions.storage import fingerprint, materialize, shared_dir, table
+from textloom.operators import index, suffix
 from textloom.plans.registry import query
+from textloom.plans.search_queries import _FIND, _MATCHES, AROUND, CASES, WORD, _count_case
 
 _STREAM = """d AS (SELECT item_id % 4 AS shard, item_id, max(text) AS text FROM benchmark WHERE text IS NOT NULL GROUP BY item_id),
 h AS (SELECT shard, string_agg('FF' || hex(encode(text)), '' ORDER BY item_id) || 'FA' AS x FROM d GROUP BY shard),
@@ -21,9 +22,26 @@ s AS (SELECT CAST(shard AS BIGINT) AS shard, CAST(ptr AS BIGINT) AS ptr, CAST(le
 t AS (SELECT *, CAST(row_number() OVER (PARTITION BY shard ORDER BY k) - 1 AS BIGINT) AS rank FROM s)"""
 
 
-def _suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _index(spark: SparkSession, sf_dir: str, name: str, docs: DataFrame) -> index.SuffixIndex:
+    """The index of a table, built once for each state of its files in the shared folder."""
+    return index.build(docs, f"{shared_dir(spark).rstrip('/')}/textloom-index-{name}-{fingerprint(table(spark, sf_dir, name))}")
+
+
+def _items_index(spark: SparkSession, sf_dir: str) -> index.SuffixIndex:
     items = table(spark, sf_dir, "benchmark").where("text is not null").groupBy("item_id").agg(F.max("text").alias("text"))
-    return materialize(suffix.suffix_array(items.select(F.pmod("item_id", F.lit(4)).cast("int").alias("shard"), F.col("item_id").alias("doc_id"), "text")), "suffixes")
+    return _index(spark, sf_dir, "benchmark", items.select(F.pmod("item_id", F.lit(4)).cast("int").alias("shard"), F.col("item_id").alias("doc_id"), "text"))
+
+
+def _corpus_index(spark: SparkSession, sf_dir: str) -> index.SuffixIndex:
+    return _index(spark, sf_dir, "documents", table(spark, sf_dir, "documents").select("shard", "doc_id", "text"))
+
+
+def _suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _items_index(spark, sf_dir).suffixes()
+
+
+def _lcp(ix: index.SuffixIndex) -> DataFrame:
+    return suffix.lcp(ix.suffixes(), ix.text)
 
 
 @query(f"WITH {_STREAM} SELECT shard, rank, ptr FROM t")
@@ -57,48 +75,61 @@ l AS (SELECT shard, rank, CASE WHEN g IS NULL THEN 0 ELSE CAST(coalesce(list_pos
 
 @query(f"WITH {_LCP} SELECT shard, rank, CAST(lcp AS BIGINT) AS lcp FROM l")
 def lcp_lens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix.lcp(_suffixes(spark, sf_dir))
+    return _lcp(_items_index(spark, sf_dir))
 
 
 @query(f"WITH {_STREAM}, c AS (SELECT shard, substr(k, 1, 2) AS symbol, count(*) AS n FROM t GROUP BY 1, 2) SELECT shard, symbol, CAST(n AS BIGINT) AS n, CAST(coalesce(sum(n) OVER (PARTITION BY shard ORDER BY symbol ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS smaller FROM c")
 def c_array(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix.c_array(_suffixes(spark, sf_dir)).select("shard", F.lpad(F.hex("byte"), 2, "0").alias("symbol"), "n", "smaller")
+    return _c_array(_items_index(spark, sf_dir))
 
 
 @query(f"WITH {_STREAM} SELECT shard, CAST(count(*) FILTER (WHERE k < hex(encode('the '))) AS BIGINT) AS lo, CAST(count(*) FILTER (WHERE k < hex(encode('the ')) OR starts_with(k, hex(encode('the ')))) AS BIGINT) AS hi FROM t GROUP BY shard")
 def lex_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix.interval_of(_suffixes(spark, sf_dir), b"the ")
+    return _items_index(spark, sf_dir).intervals("the ")
 
 
 @query(f"WITH {_STREAM} SELECT a.shard, CAST(a.smaller + count(t.rank) FILTER (WHERE t.rank < i.lo) AS BIGINT) AS lo, CAST(a.smaller + count(t.rank) FILTER (WHERE t.rank < i.hi) AS BIGINT) AS hi FROM (SELECT shard, count(*) FILTER (WHERE k < '74') AS smaller FROM t GROUP BY shard) a JOIN (SELECT shard, count(*) FILTER (WHERE k < hex(encode('he '))) AS lo, count(*) FILTER (WHERE k < hex(encode('he ')) OR starts_with(k, hex(encode('he ')))) AS hi FROM t GROUP BY shard) i ON a.shard = i.shard JOIN t ON t.shard = a.shard AND t.b = '74' GROUP BY a.shard, a.smaller")
 def backward_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _step_left(_suffixes(spark, sf_dir))
+    """One step to the left: from the interval of ``he `` to that of ``the `` by the C-array and ranks in the BWT."""
+    ix = _items_index(spark, sf_dir)
+    return _intervals(spark, ix.backward_step(ix.find("he "), ord("t")))
 
 
-def _step_left(s: DataFrame) -> DataFrame:
-    """One step to the left: from the interval of ``he `` to that of ``the `` by the C-array and ranks in the BWT."""
-    now, c = suffix.interval_of(s, b"he "), suffix.c_array(s).where(F.col("byte") == ord("t")).select("shard", "smaller")
-    t = s.where(F.col("bwt") == ord("t")).join(F.broadcast(now), "shard").groupBy("shard").agg(F.count_if(F.col("rank") < F.col("lo")).alias("a"), F.count_if(F.col("rank") < F.col("hi")).alias("b"))
-    return t.join(c, "shard").select("shard", (F.col("smaller") + F.col("a")).alias("lo"), (F.col("smaller") + F.col("b")).alias("hi"))
+def _intervals(spark: SparkSession, found: dict[int, tuple[int, int]]) -> DataFrame:
+    return spark.createDataFrame([(s, *iv) for s, iv in found.items()], "shard long, lo long, hi long")
+
+
+def _c_array(ix: index.SuffixIndex) -> DataFrame:
+    return ix.smaller_bytes().select("shard", F.lpad(F.hex("byte"), 2, "0").alias("symbol"), "n", "smaller")
 
 
 def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix.nodes(suffix.lcp(_suffixes(spark, sf_dir)))
+    return suffix.nodes(_lcp(_items_index(spark, sf_dir)))
 
 
+_NODES = f"""{_LCP}, v AS (SELECT shard, rank, CASE WHEN rank = 0 THEN -1 ELSE lcp END AS v, max(rank) OVER (PARTITION BY shard) AS top FROM l),
+w AS (SELECT a.shard, a.v AS depth, a.top, (SELECT max(b.rank) FROM v b WHERE b.shard = a.shard AND b.rank < a.rank AND b.v < a.v) AS lb,
+  (SELECT min(b.rank) FROM v b WHERE b.shard = a.shard AND b.rank > a.rank AND b.v < a.v) AS after FROM v a WHERE a.rank > 0),
+nodes AS (SELECT DISTINCT shard, lb, coalesce(after - 1, top) AS rb, CAST(depth AS BIGINT) AS depth FROM w)"""
+_PARENTS = f"""{_NODES}, e AS (SELECT n.*, greatest(coalesce(x.v, -1), coalesce(y.v, -1)) AS up FROM nodes n LEFT JOIN v x ON n.shard = x.shard AND n.lb = x.rank LEFT JOIN v y ON n.shard = y.shard AND n.rb + 1 = y.rank),
+parents AS (SELECT e.shard, e.lb, e.rb, e.depth, p.lb AS parent_lb, p.rb AS parent_rb, p.depth AS parent_depth FROM e LEFT JOIN nodes p ON e.shard = p.shard AND p.depth = e.up AND e.lb BETWEEN p.lb AND p.rb)"""
 
-@query()
+
+@query(f"WITH {_NODES} SELECT shard, lb, rb, depth, rb - lb + 1 AS size FROM nodes")
 def tree_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Inner nodes of the suffix trees with leaves and depth."""
     return _nodes(spark, sf_dir).withColumn("size", F.col("rb") - F.col("lb") + 1)
 
 
-@query()
+@query(f"WITH {_PARENTS} SELECT * FROM parents")
 def tree_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.parents(_nodes(spark, sf_dir))
 
 
-@query()
+@query(
+    f"""WITH {_PARENTS}, k AS (SELECT shard, parent_lb AS lb, parent_rb AS rb, count(*) AS inner_nodes, sum(rb - lb + 1) AS below FROM parents WHERE parent_lb IS NOT NULL GROUP BY 1, 2, 3)
+SELECT p.shard, p.lb, p.rb, p.depth, CAST(coalesce(k.inner_nodes, 0) + p.rb - p.lb + 1 - coalesce(k.below, 0) AS BIGINT) AS degree FROM parents p LEFT JOIN k ON p.shard = k.shard AND p.lb = k.lb AND p.rb = k.rb"""
+)
 def tree_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _degrees(_nodes(spark, sf_dir))
 
@@ -111,19 +142,21 @@ def _degrees(tree: DataFrame) -> DataFrame:
     return out.select("shard", "lb", "rb", "depth", (F.col("inner") + F.col("rb") - F.col("lb") + 1 - F.col("below")).alias("degree"))
 
 
-@query()
+@query(
+    f"""WITH {_NODES}, psi AS (SELECT a.shard, a.rank, r.rank AS psi FROM t a JOIN t r ON a.shard = r.shard AND r.ptr = (a.ptr + 1) % a.n)
+SELECT n.shard, n.lb, n.rb, n.depth, m.lb AS link_lb, m.rb AS link_rb FROM nodes n JOIN psi x ON n.shard = x.shard AND n.lb = x.rank JOIN nodes m ON m.shard = n.shard AND m.depth = n.depth - 1 AND x.psi BETWEEN m.lb AND m.rb WHERE n.depth > 0"""
+)
 def suffix_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suffix links of the inner nodes; read from right to left they are the Weiner links."""
-    s = _suffixes(spark, sf_dir)
-    return suffix.links(suffix.nodes(suffix.lcp(s)), suffix.lf_mapping(s))
+    return suffix.links(materialize(_nodes(spark, sf_dir), "nodes"), suffix.lf_mapping(_suffixes(spark, sf_dir)))
 
 
 def _corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return materialize(suffix.suffix_array(table(spark, sf_dir, "documents").select("shard", "doc_id", "text")), "suffixes")
+    return _corpus_index(spark, sf_dir).suffixes()
 
 
 def _corpus_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix.nodes(suffix.lcp(_corpus(spark, sf_dir)))
+    return suffix.nodes(_lcp(_corpus_index(spark, sf_dir)))
 
 
 @query()
@@ -153,22 +186,33 @@ def corpus_lf_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def corpus_lcp_lens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix.lcp(_corpus(spark, sf_dir))
+    return _lcp(_corpus_index(spark, sf_dir))
 
 
-@query()
+@query(
+    """WITH h AS (SELECT shard, hex(encode(text)) AS x FROM documents WHERE text IS NOT NULL),
+b AS (SELECT shard, substr(x, 2 * i + 1, 2) AS symbol FROM (SELECT shard, x, unnest(range(0, length(x) // 2)) AS i FROM h)
+  UNION ALL SELECT shard, 'FF' FROM h UNION ALL SELECT DISTINCT shard, 'FA' FROM h),
+c AS (SELECT shard, symbol, count(*) AS n FROM b GROUP BY 1, 2)
+SELECT CAST(shard AS BIGINT) AS shard, symbol, n, CAST(coalesce(sum(n) OVER (PARTITION BY shard ORDER BY symbol ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS smaller FROM c"""
+)
 def corpus_c_array(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix.c_array(_corpus(spark, sf_dir)).select("shard", F.lpad(F.hex("byte"), 2, "0").alias("symbol"), "n", "smaller")
+    return _c_array(_corpus_index(spark, sf_dir))
 
 
-@query()
+_THE = f"WITH q AS (SELECT 0 AS query_id, 'the ' AS query), {_FIND} SELECT shard, lo, hi FROM f"
+
+
+@query(_THE)
 def corpus_lex_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix.interval_of(_corpus(spark, sf_dir), b"the ")
+    """Forward search: borders found among the stored pages."""
+    return _corpus_index(spark, sf_dir).intervals("the ")
 
 
-@query()
+@query(_THE)
 def corpus_backward_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _step_left(_corpus(spark, sf_dir))
+    """The same interval from the right to the left, a byte at a time, by the C-array and ranks in the BWT."""
+    return _intervals(spark, _corpus_index(spark, sf_dir).backward_search(b"the "))
 
 
 @query()
@@ -188,5 +232,47 @@ def corpus_tree_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def corpus_suffix_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = _corpus(spark, sf_dir)
-    return suffix.links(materialize(suffix.nodes(suffix.lcp(s)), "nodes"), suffix.lf_mapping(s))
+    return suffix.links(materialize(_corpus_nodes(spark, sf_dir), "nodes"), suffix.lf_mapping(_corpus(spark, sf_dir)))
+
+
+# The stored index
+
+
+@query(" UNION ALL ".join(_count_case(i, q) for i, q in enumerate(CASES)))
+def count_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Single needles counted from the stored pages."""
+    ix = _corpus_index(spark, sf_dir)
+    return spark.createDataFrame([(i, ix.count(q)) for i, q in enumerate(CASES)], "case_id int, count long")
+
+
+@query(f"WITH q AS (SELECT unnest(range(0, 3)) AS query_id, unnest(['the', '{WORD} salmon', 'zzzzq']) AS query), {_FIND} SELECT query_id, shard, lo, hi FROM f")
+def find_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rank intervals of a short, a long and an absent needle."""
+    ix = _corpus_index(spark, sf_dir)
+    rows = [(i, s, *iv) for i, q in enumerate(("the", f"{WORD} salmon", "zzzzq")) for s, iv in ix.find(q).items()]
+    return spark.createDataFrame(rows, "query_id long, shard long, lo long, hi long")
+
+
+_RANKED = f"""WITH q AS (SELECT 0 AS query_id, '{WORD}' AS query), {_FIND}, {_MATCHES},
+st AS (SELECT shard, string_agg('FF' || hex(encode(text)), '' ORDER BY doc_id) || 'FA' AS x FROM documents WHERE text IS NOT NULL GROUP BY shard),
+at AS (SELECT shard, doc_id, coalesce(sum(strlen(text) + 1) OVER (PARTITION BY shard ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS o FROM documents WHERE text IS NOT NULL),
+ra AS (SELECT w.shard, w.doc_id, w.pos, w.text, CAST(at.o + w.pos + 1 AS BIGINT) AS ptr, row_number() OVER (PARTITION BY w.shard ORDER BY substr(st.x, 2 * CAST(at.o + w.pos + 1 AS BIGINT) + 1, 100000)) - 1 AS r
+  FROM w JOIN at ON w.doc_id = at.doc_id AND w.shard = at.shard JOIN st ON st.shard = w.shard)"""
+
+
+@query(f"{_RANKED} SELECT CAST(ra.shard AS BIGINT) AS shard, f.lo + ra.r AS rank, ra.ptr, ra.doc_id, ra.pos FROM ra JOIN f ON ra.shard = f.shard")
+def locate_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every occurrence of a needle with its rank: positions in suffix order."""
+    return _corpus_index(spark, sf_dir).locate(WORD)
+
+
+@query(f"{_RANKED} SELECT CAST(ra.shard AS BIGINT) AS shard, f.lo + ra.r AS rank, ra.doc_id, ra.pos, ra.text FROM ra JOIN f ON ra.shard = f.shard QUALIFY row_number() OVER (PARTITION BY ra.shard ORDER BY ra.r) = 1 OR row_number() OVER (PARTITION BY ra.shard ORDER BY ra.r DESC) = 1")
+def doc_by_rank_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents at the first and the last rank of a needle's interval in each shard, in context."""
+    ix = _corpus_index(spark, sf_dir)
+    out = None
+    for s, (lo, hi) in ix.find(WORD).items():
+        for r in sorted({lo, hi - 1}) if lo < hi else ():
+            row = ix.get_doc_by_rank(s, r, len(WORD), AROUND).select(F.lit(s).cast("long").alias("shard"), F.lit(r).cast("long").alias("rank"), "doc_id", "pos", "c.text")
+            out = row if out is None else out.unionByName(row)
+    return out if out is not None else spark.createDataFrame([], "shard long, rank long, doc_id long, pos long, text string")
