@@ -230,3 +230,48 @@ def test_rest_imports_without_the_subpackage(monkeypatch):
     entry = importlib.import_module("__spark_entry__")
     assert "count_needles" in entry.queries() and not [q for q in entry.queries() if q.startswith("p")  and q[1].isdigit()]
     sys.modules.pop("__spark_entry__", None)
+
+
+def test_indexed_corpus_answers_like_the_scan(spark, tmp_path):
+    rows = [(i % 2, i, ("naïve harbour beside the sea " * (i % 4)) + f"n{i}", f"m{i}") for i in range(20)]
+    plain = Corpus(spark.createDataFrame(rows, "shard int, doc_id long, text string, metadata string"))
+    fast = plain.build_index(f"file://{tmp_path}/ix")
+    for q in ("harbour", "harbour beside the sea naïve", "zz", "", "n1"):
+        assert fast.count(q).first()["count"] == plain.count(q).first()["count"]
+        assert fast.find(q).first() == plain.find(q).first()
+    lo, hi = plain.find("harbour").first()["segment_by_shard"][1]
+    seen = [[c.get_doc_by_rank("harbour", 1, r, 8).first() for r in range(lo, hi)] for c in (plain, fast)]
+    columns = ["doc_id", "metadata", "text", "needle_offset", "doc_len", "disp_len", "spans", "error"]
+    assert sorted(tuple(r[c] for c in columns) for r in seen[0]) == sorted(tuple(r[c] for c in columns) for r in seen[1]) and len(seen[0]) == hi - lo > 5
+    assert fast.get_doc_by_rank("harbour", 1, hi, 8).count() == plain.get_doc_by_rank("harbour", 1, hi, 8).count() == 0
+
+
+def test_long_needles(spark):
+    word = "abé" * 200
+    docs = spark.createDataFrame([(0, 1, word + word), (0, 2, "abc"), (1, 3, word[:-1])], "shard int, doc_id long, text string")
+    found = {r["shard"]: (r["lo"], r["hi"]) for r in search.find(docs, word).collect()}
+    data = {0: [word + word, "abc"], 1: [word[:-1]]}
+    for s, texts in data.items():
+        suffixes = [t.encode()[i:] + b"\xff" for t in texts for i in range(len(t.encode()))]
+        lo, n = sum(x < word.encode() for x in suffixes), sum(x.startswith(word.encode()) for x in suffixes)
+        assert found[s] == (lo, lo + n)
+
+
+def test_an_engine_error_is_status_500(spark):
+    broken = Corpus(spark.createDataFrame([(1,)], "shard int"))  # no text
+    assert Registry({"x": broken}).query({"query_type": "count", "index": "x", "query": "a"})["status"] == 500
+
+
+def test_shared_folder_is_required_on_a_cluster():
+    from textloom.functions.storage import shared_dir
+
+    class Session:
+        class conf:  # noqa: N801
+            get = staticmethod(lambda name, default: default)
+
+        class sparkContext:  # noqa: N801
+            master = "spark://host:7077"
+            getCheckpointDir = staticmethod(lambda: None)
+
+    with pytest.raises(RuntimeError):
+        shared_dir(Session)

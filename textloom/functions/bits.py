@@ -49,3 +49,20 @@ def fibonacci_length(x: Column) -> Column:
     while fib[-1] < 1 << 62:
         fib.append(fib[-1] + fib[-2])
     return (F.size(F.filter(F.array(*map(F.lit, fib)), lambda f: f <= x)) + 1).cast("int")
+
+
+def reversed_word(x: Column, width: int = 64) -> Column:
+    """The lowest ``width`` bits in reverse order, as a string of binary digits."""
+    return F.reverse(F.lpad(F.substring(F.bin(x), -width, width), width, "0"))
+
+
+def gamma_code(x: Column) -> Column:
+    """The Elias gamma code of x >= 1 as binary digits: as many zeros as digits follow the first, then the number."""
+    digits = F.bin(x)
+    return F.concat(F.repeat(F.lit("0"), F.length(digits) - 1), digits)
+
+
+def gamma_value(code: Column) -> Column:
+    """The number of a gamma code."""
+    zeros = F.length(F.regexp_extract(code, "^0*", 0))
+    return F.conv(F.substring(code, zeros + 1, zeros + 1), 2, 10).cast("long")

@@ -48,21 +48,29 @@ def positions(text: Column, needle: str) -> Column:
     return F.when(F.contains(text, F.lit(needle)), start).otherwise(F.expr("cast(array() as array<bigint>)"))
 
 
+#: Bytes up to which a needle is compared by a regular expression; its groups are nested as deep.
+MOST_BYTES = 256
+
+
 def smaller_suffixes(text: Column, needle: str) -> Column:
-    """How many suffixes of ``separator + text`` sort before the needle, in one pass over the bytes.
+    """How many suffixes of ``separator + text`` sort before a needle of at most ``MOST_BYTES`` bytes, in one pass over the bytes.
 
     The bytes are viewed as Latin-1. A suffix is smaller if it agrees with the needle for some bytes and is then below
     it; separator and terminator are above every byte of UTF-8, so borders need no special case.
     """
-    parts, seen = [], ""
-    for b in needle.encode():
-        if b:
-            parts.append(f"{seen}[\\x00-\\x{b - 1:02x}]")
-        seen += f"\\x{b:02x}"
-    if not parts:
+    word = needle.encode()
+    if len(word) > MOST_BYTES:
+        raise ValueError(f"more than {MOST_BYTES} bytes")
+    # [below b1]|b1(?:[below b2]|b2(?:...)): as long as the needle, not as its square.
+    inner = ""
+    for b in reversed(word):
+        below = f"[\\x00-\\x{b - 1:02x}]" if b else ""
+        deeper = f"\\x{b:02x}(?:{inner})" if inner else ""
+        inner = "|".join(x for x in (below, deeper) if x)
+    if not inner:
         return F.lit(0).cast("long")
     view = F.decode(F.encode(text, "UTF-8"), "ISO-8859-1")
-    return F.regexp_count(view, F.lit(f"(?s)(?={'|'.join(parts)})")).cast("long")
+    return F.regexp_count(view, F.lit(f"(?s)(?={inner})")).cast("long")
 
 
 def highlight(text: Column, needle: Column | str) -> Column:

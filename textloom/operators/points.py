@@ -84,3 +84,8 @@ def parentheses(bits: DataFrame, block: int = 1 << 16) -> DataFrame:
     out = rows.where("bit = 1").join(near, "i").join(near.select(F.col("i").alias("prev"), F.col("prev").alias("_p")), "prev", "left")
     around = F.when(F.col("v") > 1, F.coalesce(F.col("_p") + 1, F.lit(0).cast("long")))
     return out.select("i", F.col("v").alias("excess"), F.col("next").alias("match"), around.alias("enclose"))
+
+
+def matched(pairs: DataFrame) -> DataFrame:
+    """``i, excess, match, enclose`` -> ``close, open``: the partner of every closing parenthesis."""
+    return pairs.where("match is not null").select(F.col("match").alias("close"), F.col("i").alias("open"))

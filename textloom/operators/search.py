@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.operators.needle import occurrences, smaller_suffixes
+from textloom.operators.needle import MOST_BYTES, occurrences, smaller_suffixes
 
 #: Bytes of needles that may go to the driver at once; more are taken in several passes.
 NEEDLE_BYTES = 1 << 20
@@ -29,7 +29,10 @@ def count(docs: DataFrame, needle: str) -> DataFrame:
 
 
 def find(docs: DataFrame, needle: str) -> DataFrame:
-    """``shard, lo, hi``: the rank interval of the needle among the suffixes of each shard."""
+    """``shard, lo, hi``: the rank interval of the needle among the suffixes of each shard; long needles are compared byte by byte (``find_many``)."""
+    if len(needle.encode("utf-8", "surrogatepass")) > MOST_BYTES:
+        one = docs.sparkSession.createDataFrame([(0, needle)], "query_id long, query string")
+        return find_many(docs, one).select(F.col("shard").cast(docs.schema["shard"].dataType).alias("shard"), "lo", "hi")
     lo = F.lit(0).cast("long") if not needle else F.sum(smaller_suffixes(F.col("text"), needle))
     n = F.sum(F.octet_length("text") + 1).cast("long") + 1 if not needle else F.sum(occurrences(F.col("text"), needle))
     per = docs.where("text is not null").groupBy("shard").agg(lo.alias("lo"), n.alias("n"))

@@ -6,9 +6,12 @@ Running counts per symbol are two-level (see ``corpus.running_total``), so a sym
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from textloom.functions.storage import materialize
 from textloom.operators.corpus import running_total
 
 
@@ -53,21 +56,39 @@ def interval_symbols(seq: DataFrame, lo: int, hi: int) -> DataFrame:
     return seq.where(F.col("i") < hi).groupBy("sym").agg(before, F.count(F.lit(1)).alias("rank_hi")).where("rank_hi > rank_lo")
 
 
+def _cut(ranges: DataFrame, width: int) -> DataFrame:
+    """Ranges [lo, hi] cut at multiples of ``width``: ``_b`` numbers the piece, ``_whole`` tells whether it is a whole block."""
+    b = F.col("_b")
+    cut = ranges.where("lo <= hi").withColumn("_b", F.explode(F.sequence(F.floor(F.col("lo") / width), F.floor(F.col("hi") / width))))
+    return cut.withColumn("_whole", (b * width >= F.col("lo")) & ((b + 1) * width - 1 <= F.col("hi")))
+
+
+def _symbols_in(seq: DataFrame, ranges: DataFrame, *keys: str, width: int = 1 << 16) -> DataFrame:
+    """``*keys, sym, freq``: occurrences of each symbol in each range.
+
+    Whole blocks are answered from counts per block and symbol; only the two ends of a range meet single positions. All joins are on the block.
+    """
+    cut, rows = _cut(ranges, width), seq.withColumn("_b", F.floor(F.col("i") / width))
+    per = rows.groupBy("_b", "sym").agg(F.count(F.lit(1)).alias("_n"))
+    whole = cut.where("_whole").join(per, "_b").select(*keys, "sym", "_n")
+    ends = cut.where("not _whole").join(rows, "_b").where("i between lo and hi").groupBy(*keys, "sym").agg(F.count(F.lit(1)).alias("_n"))
+    return whole.unionByName(ends).groupBy(*keys, "sym").agg(F.sum("_n").alias("freq"))
+
+
 def quantile_freq(seq: DataFrame, ranges: DataFrame) -> DataFrame:
     """``range_id, lo, hi, q``: the q-th smallest symbol (from 0) of positions [lo, hi], and how often it stands there.
 
     Only one row per range and distinct symbol is ordered.
     """
-    n = seq.join(F.broadcast(ranges), F.col("i").between(F.col("lo"), F.col("hi"))).groupBy("range_id", "q", "sym").agg(F.count(F.lit(1)).alias("freq"))
+    n = _symbols_in(seq, ranges, "range_id", "q")
     up_to = F.sum("freq").over(Window.partitionBy("range_id").orderBy("sym"))
     return n.withColumn("_u", up_to).where((F.col("_u") > F.col("q")) & (F.col("_u") - F.col("freq") <= F.col("q"))).select("range_id", "sym", "freq")
 
 
 def intersect(seq: DataFrame, ranges: DataFrame, least: int) -> DataFrame:
     """Symbols that stand in at least ``least`` of the ranges [lo, hi], with their occurrences in all of them."""
-    hit = seq.join(F.broadcast(ranges), F.col("i").between(F.col("lo"), F.col("hi")))
-    per = hit.groupBy("sym", "range_id").agg(F.count(F.lit(1)).alias("n"))
-    return per.groupBy("sym").agg(F.count(F.lit(1)).alias("n_ranges"), F.sum("n").alias("freq")).where(F.col("n_ranges") >= least)
+    per = _symbols_in(seq, ranges, "range_id")
+    return per.groupBy("sym").agg(F.count(F.lit(1)).alias("n_ranges"), F.sum("freq").alias("freq")).where(F.col("n_ranges") >= least)
 
 
 def range_search_2d(seq: DataFrame, lo: int, hi: int, low, high) -> DataFrame:
@@ -86,20 +107,49 @@ def unique_range_values(seq: DataFrame, lo: int, hi: int, low, high) -> DataFram
     return range_search_2d(seq, lo, hi, low, high).select("sym").distinct()
 
 
-def range_minimum(seq: DataFrame, ranges: DataFrame, value: str = "v") -> DataFrame:
-    """``range_id, lo, hi`` -> position and value of the leftmost minimum of [lo, hi]."""
-    hit = seq.join(F.broadcast(ranges), F.col("i").between(F.col("lo"), F.col("hi")))
-    return hit.groupBy("range_id").agg(F.min(F.struct(F.col(value).alias("v"), "i")).alias("m")).select("range_id", "m.i", "m.v")
+def range_minimum(seq: DataFrame, ranges: DataFrame, value: str = "v", width: int = 1 << 16) -> DataFrame:
+    """``range_id, lo, hi`` -> position and value of the leftmost minimum of [lo, hi]; whole blocks are answered from their own minima."""
+    cut, rows = _cut(ranges, width), seq.select("i", F.col(value).alias("v"), F.floor(F.col("i") / width).alias("_b"))
+    least = F.min(F.struct("v", "i")).alias("m")
+    whole = cut.where("_whole").join(rows.groupBy("_b").agg(least), "_b").select("range_id", "m")
+    ends = cut.where("not _whole").join(rows, "_b").where("i between lo and hi").groupBy("range_id").agg(least)
+    return whole.unionByName(ends).groupBy("range_id").agg(F.min("m").alias("m")).select("range_id", "m.i", "m.v")
+
+
+def _nearest_block(asked: DataFrame, low: DataFrame, fan: int, before: bool) -> DataFrame:
+    """``i, v, _b`` -> ``i, v, _t``: the nearest block before (or after) ``_b`` whose minimum is below v; none without any.
+
+    Up and down a tree of minima with ``fan`` children a node: one equi-join a level.
+    """
+    nearest = F.array_max if before else F.array_min
+    step = lambda ok: nearest(F.filter(F.transform("_a", lambda m, k: F.when((m < F.col("v")) & ok(k), k)), lambda k: k.isNotNull()))
+    levels, top = [], low.select(F.col("_b").alias("_n"), "_m")
+    most = int(low.agg(F.coalesce(F.max("_b"), F.lit(0)).alias("n")).first()["n"])
+    while True:
+        pieces = top.select(F.floor(F.col("_n") / fan).alias("_g"), (F.col("_n") % fan).alias("_k"), "_m").groupBy("_g").agg(F.map_from_entries(F.collect_list(F.struct("_k", "_m"))).alias("_map"))
+        levels.append(pieces.select("_g", F.transform(F.sequence(F.lit(0), F.lit(fan - 1)), lambda k: F.try_element_at("_map", k.cast("long"))).alias("_a")))
+        top = top.groupBy(F.floor(F.col("_n") / fan).alias("_n")).agg(F.min("_m").alias("_m"))
+        most //= fan
+        if not most:
+            break
+    open_, found = asked.select("i", "v", F.col("_b").alias("_n")), None
+    for k, level in enumerate(levels):
+        at = open_.withColumns({"_g": F.floor(F.col("_n") / fan), "_c": F.col("_n") % fan}).join(level, "_g")
+        at = materialize(at.select("i", "v", "_g", step(lambda k: k < F.col("_c") if before else k > F.col("_c")).alias("_hit")), "climb")
+        hit = at.where("_hit is not null").select("i", "v", (F.col("_g") * fan + F.col("_hit")).alias("_n"))
+        for below in reversed(levels[:k]):
+            hit = hit.join(below.withColumnRenamed("_g", "_n"), "_n").select("i", "v", (F.col("_n") * fan + step(lambda k: F.lit(True))).alias("_n"))
+        found = hit if found is None else found.unionByName(hit)
+        open_ = at.where("_hit is null").select("i", "v", F.col("_g").alias("_n"))
+    return found.select("i", "v", F.col("_n").alias("_t"))
 
 
 def smaller_neighbours(seq: DataFrame, block: int = 1 << 16) -> DataFrame:
     """``i, v`` -> ``i, v, prev, next``: nearest positions with a smaller value before and after, null without any.
 
-    Blocks of consecutive positions are solved in parallel by a stack. What a block leaves open is looked up in the table of block
-    minima, and then in the one block found; every row joins one block only.
+    Blocks of consecutive positions are solved in parallel by a stack. What a block leaves open is looked up in a tree of block
+    minima, and then in the one block found, by binary search in its running minima. A block that very many rows point to is answered in several tasks.
     """
-    import numpy as np
-    import pyarrow as pa
 
     def f(t: pa.Table) -> pa.Table:
         i, v = t.column("i").to_numpy(), t.column("v").to_numpy()
@@ -119,15 +169,36 @@ def smaller_neighbours(seq: DataFrame, block: int = 1 << 16) -> DataFrame:
         return pa.table({"i": pa.array(i, pa.int64()), "v": pa.array(v, pa.float64()), "prev": pa.array(prev, pa.int64()), "next": pa.array(nxt, pa.int64())})
 
     rows = seq.select("i", F.col("v").cast("double").alias("v"), F.floor(F.col("i") / block).alias("_b"))
+    rows = materialize(rows, "values")
     inside = rows.select("_b", "i", "v").groupBy("_b").applyInArrow(f, "i long, v double, prev long, next long")
-    inside = inside.withColumn("_b", F.floor(F.col("i") / block))
+    inside = materialize(inside.withColumn("_b", F.floor(F.col("i") / block)), "inside")
     low = rows.groupBy("_b").agg(F.min("v").alias("_m"))
-    open_prev = inside.where("prev is null").select("i", "v", "_b").join(low.select(F.col("_b").alias("_c"), "_m"), F.expr("_c < _b and _m < v")).groupBy("i", "v").agg(F.max("_c").alias("_b"))
-    open_next = inside.where("next is null").select("i", "v", "_b").join(low.select(F.col("_b").alias("_c"), "_m"), F.expr("_c > _b and _m < v")).groupBy("i", "v").agg(F.min("_c").alias("_b"))
-    other = rows.select("_b", F.col("i").alias("_i"), F.col("v").alias("_v"))
-    p = open_prev.join(other, "_b").where("_v < v").groupBy("i").agg(F.max("_i").alias("_p"))
-    n = open_next.join(other, "_b").where("_v < v").groupBy("i").agg(F.min("_i").alias("_n"))
-    return inside.join(p, "i", "left").join(n, "i", "left").select("i", "v", F.coalesce("prev", "_p").alias("prev"), F.coalesce("next", "_n").alias("next"))
+    values = rows.select("_b", F.col("i").alias("_i"), F.col("v").alias("_v"))
+    p = _last_below(_nearest_block(inside.where("prev is null"), low, FAN, True), values, True)
+    n = _last_below(_nearest_block(inside.where("next is null"), low, FAN, False), values, False)
+    both = inside.join(p.withColumnRenamed("at", "_p"), "i", "left").join(n.withColumnRenamed("at", "_n"), "i", "left")
+    return both.select("i", "v", F.coalesce("prev", "_p").alias("prev"), F.coalesce("next", "_n").alias("next"))
+
+
+FAN, QUESTIONS = 16, 1 << 20
+
+
+def _last_below(asked: DataFrame, values: DataFrame, last: bool) -> DataFrame:
+    """``i, v, _t`` -> ``i, at``: the last (or first) position of block ``_t`` with a value below v."""
+
+    def f(q: pa.Table, t: pa.Table) -> pa.Table:
+        i, v = t.column("_i").to_numpy(), t.column("_v").to_numpy()
+        o = np.argsort(i)[::-1] if last else np.argsort(i)
+        low = np.minimum.accumulate(v[o])
+        # The running minima never rise: the first of them below v is where the value stands.
+        k = np.searchsorted(-low, -q.column("v").to_numpy(), "right")
+        return pa.table({"i": q.column("i"), "at": pa.array(i[o][k] if q.num_rows else i[:0])})
+
+    asked = materialize(asked, "open")
+    salts = asked.groupBy("_t").agg(F.ceil(F.count(F.lit(1)) / QUESTIONS).alias("_salts"))
+    q = asked.join(salts, "_t").select("_t", F.pmod(F.xxhash64("i"), "_salts").alias("_s"), "i", "v")
+    t = values.join(salts.withColumnRenamed("_t", "_b"), "_b").select(F.col("_b").alias("_t"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("_salts") - 1)).alias("_s"), "_i", "_v")
+    return q.groupBy("_t", "_s").cogroup(t.groupBy("_t", "_s")).applyInArrow(f, "i long, at long")
 
 
 def neighbours(values: DataFrame, asked: DataFrame) -> DataFrame:
@@ -139,8 +210,12 @@ def neighbours(values: DataFrame, asked: DataFrame) -> DataFrame:
     shift = 1 << 12
     both = values.select(F.col("value").alias("x"), F.lit(True).alias("_v")).distinct().unionByName(asked.select("x", F.lit(False).alias("_v")).distinct()).withColumn("_b", F.floor(F.col("x") / shift))
     ends = both.groupBy("_b").agg(F.max(F.when(F.col("_v"), F.col("x"))).alias("_hi"), F.min(F.when(F.col("_v"), F.col("x"))).alias("_lo"))
-    order = Window.orderBy("_b")  # a row for each block
-    ends = ends.select("_b", F.last("_hi", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("_below"), F.first("_lo", ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing)).alias("_above"))
+    # Two levels: blocks within a group of them, and a row for each group.
+    ends = ends.withColumn("_g", F.floor(F.col("_b") / shift))
+    groups = ends.groupBy("_g").agg(F.max("_hi").alias("_hi"), F.min("_lo").alias("_lo"))
+    around = lambda rows, by: rows.select("*", F.last("_hi", ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, -1)).alias("_below"), F.first("_lo", ignorenulls=True).over(by.rowsBetween(1, Window.unboundedFollowing)).alias("_above"))
+    outer = around(groups, Window.orderBy("_g")).select("_g", F.col("_below").alias("_below2"), F.col("_above").alias("_above2"))
+    ends = around(ends, Window.partitionBy("_g").orderBy("_b")).join(outer, "_g").select("_b", F.coalesce("_below", "_below2").alias("_below"), F.coalesce("_above", "_above2").alias("_above"))
     w = Window.partitionBy("_b").orderBy("x")
     value = F.when(F.col("_v"), F.col("x"))
     both = both.withColumn("_p", F.max(value).over(w.rangeBetween(Window.unboundedPreceding, 0))).withColumn("_s", F.min(value).over(w.rangeBetween(0, Window.unboundedFollowing)))

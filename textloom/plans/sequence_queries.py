@@ -147,6 +147,33 @@ def bit_select(spark: SparkSession, sf_dir: str) -> DataFrame:
     return running_total(ones, F.lit(1).cast("long"), "i", "k", group="one").select((F.col("k") + 1).alias("k"), "i")
 
 
+@query(f"WITH {_B} SELECT CAST(row_number() OVER (ORDER BY i) AS BIGINT) AS k, i FROM b WHERE bit = 0")
+def bit_select_zeros(spark: SparkSession, sf_dir: str) -> DataFrame:
+    zeros = _bits(spark, sf_dir).where("bit = 0")
+    return running_total(zeros, F.lit(1).cast("long"), "i", "k", group="one").select((F.col("k") + 1).alias("k"), "i")
+
+
+@query("SELECT p_partkey AS x, reverse(lpad(bin(p_partkey), 64, '0')) AS turned FROM part")
+def word_reverse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("x"), bits.reversed_word(F.col("p_partkey")).alias("turned"))
+
+
+@query("SELECT p_partkey + 1 AS x, repeat('0', length(bin(p_partkey + 1)) - 1) || bin(p_partkey + 1) AS code, p_partkey + 1 AS decoded FROM part")
+def gamma_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Elias gamma codes, there and back."""
+    rows = table(spark, sf_dir, "part").select((F.col("p_partkey") + 1).alias("x")).withColumn("code", bits.gamma_code(F.col("x")))
+    return rows.withColumn("decoded", bits.gamma_value(F.col("code")))
+
+
+@query(
+    """WITH RECURSIVE f(a, b) AS (SELECT CAST(1 AS BIGINT), CAST(2 AS BIGINT) UNION ALL SELECT b, a + b FROM f WHERE b < 1000000000000)
+SELECT p_partkey + 1 AS x, CAST(count(f.a) + 1 AS INTEGER) AS bits FROM part LEFT JOIN f ON f.a <= p_partkey + 1 GROUP BY p_partkey"""
+)
+def fibonacci_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = F.col("p_partkey") + 1
+    return table(spark, sf_dir, "part").select(x.alias("x"), bits.fibonacci_length(x).alias("bits"))
+
+
 @query("SELECT p_partkey AS x, CAST(bit_count(p_partkey) AS INTEGER) AS ones, CAST(length(bin(p_partkey)) - 1 AS INTEGER) AS hi, CAST(CASE WHEN p_partkey = 0 THEN 0 ELSE length(bin(p_partkey)) - length(rtrim(bin(p_partkey), '0')) END AS INTEGER) AS lo, CAST(list_position(string_split(reverse(bin(p_partkey)), ''), '1') - 1 AS INTEGER) AS first_one, CAST((length(bin(p_partkey)) - length(replace(bin(p_partkey), '10', ''))) // 2 AS INTEGER) AS n10 FROM part")
 def word_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = F.col("x")
@@ -257,6 +284,10 @@ def _places(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_PLACES} SELECT o.open AS i, CAST(o.depth + 1 AS BIGINT) AS excess, CAST(o.open + 2 * o.size - 1 AS BIGINT) AS match, p.open AS enclose FROM o LEFT JOIN o p ON o.up = p.key")
 def parentheses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The tree of places as balanced parentheses: excess, matching and enclosing positions of every node."""
+    return _parentheses(spark, sf_dir)
+
+
+def _parentheses(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = running_total(_places(spark, sf_dir).withColumn("one", F.lit(0)), F.lit(1).cast("long"), "key", "pre", group="one")
     opened = rows.select((2 * F.col("pre") - F.col("depth")).alias("i"), F.lit(1).alias("bit"), "pre", "depth")
     # What is not an opening position closes: a tree of n nodes has 2 n of them.
@@ -264,6 +295,12 @@ def parentheses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return points.parentheses(every.join(opened.select("i", "bit"), "i", "left").fillna(0, ["bit"]), block=256)
 
 
+@query(f"WITH {_PLACES} SELECT CAST(o.open + 2 * o.size - 1 AS BIGINT) AS close, o.open FROM o")
+def parentheses_open(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The opening partner of every closing parenthesis of the same tree."""
+    return points.matched(_parentheses(spark, sf_dir))
+
+
 @query(f"WITH {_PLACES}, d AS (SELECT up AS key, count(*) AS degree FROM k WHERE up IS NOT NULL GROUP BY 1), b AS (SELECT k.key, coalesce(degree, 0) AS degree, row_number() OVER (ORDER BY depth, k.key) - 1 AS ix FROM k LEFT JOIN d ON k.key = d.key) SELECT key AS node, ix, CAST(degree AS BIGINT) AS degree, CAST(coalesce(sum(degree + 1) OVER (ORDER BY ix ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start, CAST(sum(degree + 1) OVER (ORDER BY ix) - 1 AS BIGINT) AS stop FROM b")
 def louds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same tree in level order: each node's block in the unary degree string."""
@@ -294,6 +331,19 @@ def entropy_h0(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entropy.conditional_entropy(entropy.gram_counts(table(spark, sf_dir, "documents"), 0)).select(F.round("entropy", 6).alias("entropy"), "contexts")
 
 
+@query(
+    """WITH p AS (SELECT doc_id, string_split(text, 'the ') AS parts FROM documents WHERE contains(text, 'the ')),
+e AS (SELECT unnest(parts[2:]) AS part, unnest(range(2, len(parts) + 1)) AS i, len(parts) AS m FROM p),
+n AS (SELECT CASE WHEN part <> '' THEN left(hex(encode(part)), 2) WHEN i < m THEN '74' END AS b FROM e), c AS (SELECT b, count(*) AS n FROM n WHERE b IS NOT NULL GROUP BY b)
+SELECT -sum(n / t * log2(n / t)) AS entropy, CAST(min(t) AS BIGINT) AS followed FROM c, (SELECT sum(n) AS t FROM c) x"""
+)
+def entropy_after(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entropy of the byte that follows a context."""
+    word = int.from_bytes(b"the ", "big")
+    n = entropy.gram_counts(table(spark, sf_dir, "documents"), 4).where(F.col("context") == word)
+    return entropy.conditional_entropy(n).join(n.agg(F.sum("n").alias("followed"))).select("entropy", "followed")
+
+
 @query("WITH " + _BYTES.format(k=3, w=8, c=6) + " SELECT round(sum(t * log2(t) - s) / sum(t), 6) AS entropy, CAST(count(*) AS BIGINT) AS contexts FROM t")
 def entropy_hk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entropy of a byte given the three before it, and the number of contexts."""

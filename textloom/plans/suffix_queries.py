@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.functions.storage import fingerprint, materialize, shared_dir, table
-from textloom.operators import index, suffix
+from textloom.operators import index, suffix, suffix_tree
 from textloom.plans.registry import query
 from textloom.plans.search_queries import _FIND, _MATCHES, AROUND, CASES, WORD, _count_case
 
@@ -69,8 +69,16 @@ def lf_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.lf_mapping(_suffixes(spark, sf_dir))
 
 
-_LCP = f"""{_STREAM}, q AS (SELECT shard, rank, k, lag(k) OVER (PARTITION BY shard ORDER BY rank) AS g FROM t),
-l AS (SELECT shard, rank, CASE WHEN g IS NULL THEN 0 ELSE CAST(coalesce(list_position(list_transform(range(0, 1500), lambda i: substr(k, 2 * i + 1, 2) <> substr(g, 2 * i + 1, 2)), true), 1501) - 1 AS BIGINT) END AS lcp FROM q)"""
+def _common_prefix() -> str:
+    """Bytes that k and g share, by halving steps over their hexadecimal digits."""
+    rows = "(SELECT shard, rank, k, g, 0 AS c FROM q)"
+    for m in (1024 >> i for i in range(11)):
+        rows = f"(SELECT shard, rank, k, g, CASE WHEN left(k, 2 * (c + {m})) = left(g, 2 * (c + {m})) AND length(k) >= 2 * (c + {m}) AND length(g) >= 2 * (c + {m}) THEN c + {m} ELSE c END AS c FROM {rows})"
+    return rows
+
+
+_LCP = f"""{_STREAM}, q AS MATERIALIZED (SELECT shard, rank, k, lag(k) OVER (PARTITION BY shard ORDER BY rank) AS g FROM t),
+l AS MATERIALIZED (SELECT shard, rank, CAST(c AS BIGINT) AS lcp FROM {_common_prefix()})"""
 
 
 @query(f"WITH {_LCP} SELECT shard, rank, CAST(lcp AS BIGINT) AS lcp FROM l")
@@ -255,9 +263,9 @@ def find_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _RANKED = f"""WITH q AS (SELECT 0 AS query_id, '{WORD}' AS query), {_FIND}, {_MATCHES},
 st AS (SELECT shard, string_agg('FF' || hex(encode(text)), '' ORDER BY doc_id) || 'FA' AS x FROM documents WHERE text IS NOT NULL GROUP BY shard),
-at AS (SELECT shard, doc_id, coalesce(sum(strlen(text) + 1) OVER (PARTITION BY shard ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS o FROM documents WHERE text IS NOT NULL),
-ra AS (SELECT w.shard, w.doc_id, w.pos, w.text, CAST(at.o + w.pos + 1 AS BIGINT) AS ptr, row_number() OVER (PARTITION BY w.shard ORDER BY substr(st.x, 2 * CAST(at.o + w.pos + 1 AS BIGINT) + 1, 100000)) - 1 AS r
-  FROM w JOIN at ON w.doc_id = at.doc_id AND w.shard = at.shard JOIN st ON st.shard = w.shard)"""
+pt AS (SELECT shard, doc_id, coalesce(sum(strlen(text) + 1) OVER (PARTITION BY shard ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS o FROM documents WHERE text IS NOT NULL),
+ra AS (SELECT w.shard, w.doc_id, w.pos, w.text, CAST(pt.o + w.pos + 1 AS BIGINT) AS ptr, row_number() OVER (PARTITION BY w.shard ORDER BY substr(st.x, 2 * CAST(pt.o + w.pos + 1 AS BIGINT) + 1, 100000)) - 1 AS r
+  FROM w JOIN pt ON w.doc_id = pt.doc_id AND w.shard = pt.shard JOIN st ON st.shard = w.shard)"""
 
 
 @query(f"{_RANKED} SELECT CAST(ra.shard AS BIGINT) AS shard, f.lo + ra.r AS rank, ra.ptr, ra.doc_id, ra.pos FROM ra JOIN f ON ra.shard = f.shard")
@@ -276,3 +284,69 @@ def doc_by_rank_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
             row = ix.get_doc_by_rank(s, r, len(WORD), AROUND).select(F.lit(s).cast("long").alias("shard"), F.lit(r).cast("long").alias("rank"), "doc_id", "pos", "c.text")
             out = row if out is None else out.unionByName(row)
     return out if out is not None else spark.createDataFrame([], "shard long, rank long, doc_id long, pos long, text string")
+
+
+# Navigation in the trees
+
+
+def _tree(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(suffixes, LCP, nodes with parents)"""
+    ix = _items_index(spark, sf_dir)
+    lcps = materialize(_lcp(ix), "lcp")
+    return ix.suffixes(), lcps, materialize(suffix.parents(suffix.nodes(lcps)), "parents")
+
+
+_DEPTHS = f"""{_PARENTS.replace("WITH ", "", 1)}, walk(shard, lb, rb, node_depth) AS (SELECT shard, lb, rb, CAST(0 AS BIGINT) FROM parents WHERE parent_lb IS NULL
+  UNION ALL SELECT p.shard, p.lb, p.rb, w.node_depth + 1 FROM walk w JOIN parents p ON p.shard = w.shard AND p.parent_lb = w.lb AND p.parent_rb = w.rb)"""
+
+
+@query(f"WITH RECURSIVE {_DEPTHS} SELECT shard, lb, rb, node_depth FROM walk")
+def tree_node_depths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree.node_depths(_tree(spark, sf_dir)[2])
+
+
+@query(
+    f"""WITH RECURSIVE {_DEPTHS} SELECT shard, lb, rb, row_number() OVER (PARTITION BY shard ORDER BY lb, rb DESC) - 1 AS preorder, row_number() OVER (PARTITION BY shard ORDER BY rb, lb DESC) - 1 AS postorder,
+row_number() OVER (PARTITION BY shard ORDER BY node_depth, lb) - 1 AS level_order FROM walk"""
+)
+def tree_traversals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Depth-first, bottom-up and level orders of the inner nodes."""
+    parents = _tree(spark, sf_dir)[2]
+    return suffix_tree.traversals(parents, suffix_tree.node_depths(parents))
+
+
+@query(
+    f"""WITH {_PARENTS} SELECT a.shard, a.lb, a.rb, CAST(3 AS BIGINT) AS up, c.parent_lb AS anc_lb, c.parent_rb AS anc_rb
+FROM parents a LEFT JOIN parents b ON b.shard = a.shard AND b.lb = a.parent_lb AND b.rb = a.parent_rb LEFT JOIN parents c ON c.shard = b.shard AND c.lb = b.parent_lb AND c.rb = b.parent_rb"""
+)
+def tree_ancestors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every inner node, the one three edges above."""
+    parents = _tree(spark, sf_dir)[2]
+    return suffix_tree.ancestors(parents, parents.select("shard", "lb", "rb", F.lit(3).cast("long").alias("up")))
+
+
+@query(
+    f"""WITH {_NODES}, pr AS (SELECT shard, rank AS x, rank + 1 + rank % 50 AS y FROM v WHERE rank + 1 + rank % 50 <= top),
+m AS (SELECT pr.shard, pr.x, pr.y, min(l.lcp) AS d FROM pr JOIN l ON l.shard = pr.shard AND l.rank BETWEEN pr.x + 1 AND pr.y GROUP BY ALL)
+SELECT m.shard, m.x, m.y, n.lb, n.rb, n.depth FROM m JOIN nodes n ON n.shard = m.shard AND n.depth = m.d AND m.x BETWEEN n.lb AND n.rb"""
+)
+def tree_lca(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lowest common ancestors of every leaf and one up to 50 leaves to its right."""
+    _, lcps, parents = _tree(spark, sf_dir)
+    top = lcps.groupBy("shard").agg(F.max("rank").alias("_top"))
+    pairs = lcps.select("shard", F.col("rank").alias("x"), (F.col("rank") + 1 + F.col("rank") % 50).alias("y")).join(F.broadcast(top), "shard").where("y <= _top").drop("_top")
+    return suffix_tree.lca(parents.select("shard", "lb", "rb", "depth"), lcps, pairs, width=64)
+
+
+@query(
+    f"""WITH {_PARENTS}, f AS (SELECT v.shard, v.rank, greatest(v.v, coalesce(w.v, 0)) AS d FROM v LEFT JOIN v w ON v.shard = w.shard AND w.rank = v.rank + 1),
+k AS (SELECT shard, parent_lb, parent_rb, parent_depth, lb, rb FROM parents WHERE parent_lb IS NOT NULL
+  UNION ALL SELECT f.shard, n.lb, n.rb, n.depth, f.rank, f.rank FROM f JOIN nodes n ON n.shard = f.shard AND n.depth = f.d AND f.rank BETWEEN n.lb AND n.rb)
+SELECT k.shard, k.parent_lb, k.parent_rb, k.lb, k.rb, CAST(row_number() OVER o AS INTEGER) AS ordinal, substr(t.k, 2 * k.parent_depth + 1, 2) AS byte, lead(k.lb) OVER o AS sibling_lb
+FROM k JOIN t ON t.shard = k.shard AND t.rank = k.lb WINDOW o AS (PARTITION BY k.shard, k.parent_lb, k.parent_rb ORDER BY k.lb)"""
+)
+def tree_children(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Children of every inner node, leaves too: their place, first byte and next sibling."""
+    s, lcps, parents = _tree(spark, sf_dir)
+    leaf = suffix_tree.leaves(parents.select("shard", "lb", "rb", "depth"), lcps)
+    return suffix_tree.children(parents, leaf, s).withColumn("byte", F.lpad(F.hex("byte"), 2, "0"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions.storage import shared_dir, table
 from textloom.operators import planning
+from textloom.plans.corpus import Corpus, Registry
 from textloom.plans.registry import query
 from textloom.sources import jsonl
 from textloom.streaming import ingest
@@ -33,6 +34,37 @@ def metadata_fetch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id").join(m, "doc_id", "left").groupBy("doc_id").agg(F.count("path").alias("n_records"), F.count("metadata").alias("n_with_metadata"))
 
 
+@query("SELECT DISTINCT d.doc_id, m.path, m.linenum, m.metadata FROM documents d JOIN text_meta m ON d.doc_id = m.doc_id")
+def metadata_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The metadata of every document, each distinct record once."""
+    m = table(spark, sf_dir, "text_meta").select("doc_id", "path", "linenum", "metadata").distinct()
+    return table(spark, sf_dir, "documents").select("doc_id").join(m, "doc_id")
+
+
+_REQUESTS = [
+    {"query_type": "count", "index": "documents", "query": "the", "source": "test", "timestamp": 0},
+    {"query_type": "find", "index": "documents", "query": "é"},
+    {"query_type": "count", "index": "documents"},
+    {"query_type": "count", "index": "elsewhere", "query": "the"},
+    {"query_type": "sum", "index": "documents", "query": "the"},
+    {"query_type": "count", "index": "documents", "query": 7},
+    {"query_type": "count", "index": "documents", "query": "the", "size": 1},
+    {"query_type": "get_doc_by_rank", "index": "documents", "query": "the", "s": 0, "rank": -1},
+]
+
+
+@query(
+    """SELECT * FROM (VALUES (0, 200, (SELECT CAST(sum((length(text) - length(replace(text, 'the', ''))) // 3) AS BIGINT) FROM documents)),
+(1, 200, (SELECT CAST(sum(length(text) - length(replace(text, 'é', ''))) AS BIGINT) FROM documents)), (2, 400, NULL), (3, 400, NULL), (4, 400, NULL), (5, 400, NULL), (6, 400, NULL), (7, 400, NULL)) AS t(request, status, cnt)"""
+)
+def served_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests answered by the interface: good ones, and each kind of mistake."""
+    docs = table(spark, sf_dir, "documents").select("shard", "doc_id", "text")
+    served = Registry({"documents": Corpus(docs)})
+    answers = [served.query(r) for r in _REQUESTS]
+    return spark.createDataFrame([(i, a.get("status", 200), a.get("count", a.get("cnt"))) for i, a in enumerate(answers)], "request int, status int, cnt long")
+
+
 @query("SELECT DISTINCT doc_id FROM text_meta WHERE doc_id NOT IN (SELECT doc_id FROM documents)")
 def withdrawn_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "text_meta").select("doc_id").distinct().join(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", "left_anti")
