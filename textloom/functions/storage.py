@@ -33,27 +33,40 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+def materialize(df: DataFrame, label: str, made: list[str] | None = None) -> DataFrame:
     """Write ``df`` once as Parquet into the shared folder and read it back.
 
     Unlike ``checkpoint()`` the rows are computed a single time and stay columnar, so later
-    readers still prune columns; like it, the result survives the loss of any executor.
+    readers still prune columns; like it, the result survives the loss of any executor. The path is added to ``made``, for ``discard``.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/textloom-{label}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
     _MADE.append((spark, path))
+    if made is not None:
+        made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    try:
+        jvm = spark.sparkContext._jvm
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    except Exception:  # the session may be gone already
+        pass
+
+
+def discard(paths: list[str]) -> None:
+    """Delete tables that nothing will read any more, such as those of earlier rounds."""
+    gone = set(paths)
+    for spark, path in [m for m in _MADE if m[1] in gone]:
+        _delete(spark, path)
+    _MADE[:] = [m for m in _MADE if m[1] not in gone]
+
+
 @atexit.register
 def release() -> None:
     """Delete the tables that ``materialize`` wrote; plans that read them are invalid afterwards. A long session calls it between jobs."""
     while _MADE:
-        spark, path = _MADE.pop()
-        try:
-            jvm = spark.sparkContext._jvm
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-        except Exception:  # the session may be gone already
-            pass
+        _delete(*_MADE.pop())

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.functions.storage import materialize
+from textloom.functions.storage import discard, materialize
 from textloom.operators.corpus import places
 
 U = np.uint64
@@ -133,7 +133,7 @@ class _Splitters:
         return starts, first + 2 * at + equal, equal
 
 
-def _place(keys: DataFrame, n: int, range_rows: int, grouped: bool) -> tuple[DataFrame, dict[tuple[int, int], tuple[int, int]]]:
+def _place(keys: DataFrame, n: int, range_rows: int, grouped: bool, made: list[str]) -> tuple[DataFrame, dict[tuple[int, int], tuple[int, int]]]:
     """``keys`` has blocks ``shard, blk, k1, k2, pos`` of keys (two unsigned words). Returns pieces with each position's place in its range.
 
     With ``grouped``, places are counted from the first row of the same k1 in the range. For each shard and range there is (the rows in ranges before it,
@@ -199,7 +199,7 @@ def _place(keys: DataFrame, n: int, range_rows: int, grouped: bool) -> tuple[Dat
                 out.append((p, salt, s, blk[k], pos[k], _bin(k1[lo:hi]), _bin(place[lo:hi]), _bin(shared[lo:hi]), hi - lo, *ends))
         return _table(_PLACED, out)
 
-    placed = materialize(_dealt(keys.mapInArrow(cut, _PIECE), "p", "salt").groupBy("p", "salt").applyInArrow(order, _PLACED), label)
+    placed = materialize(_dealt(keys.mapInArrow(cut, _PIECE), "p", "salt").groupBy("p", "salt").applyInArrow(order, _PLACED), label, made)
     # A row for each range.
     sizes = placed.groupBy("shard", "p").agg(F.sum("n").alias("n"), F.max("low").alias("low"), F.max("high").alias("high"), F.max("begin").alias("begin")).orderBy("shard", "p").collect()
     whole.unpersist()
@@ -298,15 +298,19 @@ _STATE_COLUMNS = [f.split()[0] for f in _STATE.split(", ")]
 def ranks(text: DataFrame, block: int = BLOCK, range_rows: int = RANGE) -> DataFrame:
     """``shard, blk, size, rank, open, n_open``: the rank of every suffix of the streams in ``text`` (see ``blocks``)."""
     n = text.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("n")).first()["n"]
-    placed, spans = _place(text.mapInArrow(_keys_of_heads, "shard long, blk long, k1 binary, k2 binary, pos binary"), n, range_rows, False)
-    state = materialize(_first_state(placed, spans), "ranks")
+    made: list[str] = []
+    placed, spans = _place(text.mapInArrow(_keys_of_heads, "shard long, blk long, k1 binary, k2 binary, pos binary"), n, range_rows, False, made)
+    state = materialize(_first_state(placed, spans), "ranks", made)
     length = HEAD
     while True:
+        # Only the ranks reached last are read from here on.
+        discard(made[:-1])
+        made = made[-1:]
         left = state.agg(F.coalesce(F.sum("n_open"), F.lit(0)).alias("n")).first()["n"]
         if not left:
             return state
-        placed, spans = _place(_shifted(state, length, block), left, range_rows, True)
-        state = materialize(_next_state(state, placed, spans), "ranks")
+        placed, spans = _place(_shifted(state, length, block), left, range_rows, True, made)
+        state = materialize(_next_state(state, placed, spans), "ranks", made)
         length *= 2
 
 
