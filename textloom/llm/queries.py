@@ -72,7 +72,8 @@ def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repetitive(repetition(table(spark, sf_dir, "documents"), divergence=False)).select("doc_id")
+    """The documents of ``p5_repetition`` at least half of whose words are repeated; their number decides, the distances don't."""
+    return repetitive(p5_repetition(spark, sf_dir)).select("doc_id")
 
 
 def p5_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ the runs of ``run`` consecutive words that occur more than once in the document;
 such runs (overlaps count) is ``repeated_share``, and the divergences stand beside it as evidence of how the
 repetition shifts the text away from its language.
 
-Whoever needs the share alone asks for it without the divergences, which saves the pass over the corpus that counts the references.
+The share alone can be had without the divergences, which saves the pass over the corpus that counts the references; no query does so.
 
 Defined results: every row gives one row; null and empty texts have no words and a share of 0; the
 language of a null or unusual ``lang`` is "und", a reference of its own; languages beyond the ``LANGUAGES`` largest are compared with
