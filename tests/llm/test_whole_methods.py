@@ -59,3 +59,24 @@ def test_p5_found_measures_the_distance_of_every_document(spark, tmp_path, monke
             assert got[i] == (None, None)
         else:
             assert got[i] == pytest.approx((distance(Counter(map(char_class, t)), chars[language(lang)]), distance(Counter(words(t)), common[language(lang)])))
+
+
+def test_p8_found_predicts_the_level_of_every_document(spark, tmp_path, monkeypatch):
+    rng = np.random.default_rng(8)
+    docs, labels = [], []
+    for d in range(400):
+        g = int(rng.integers(1, 13))
+        text = [f"{'g' if d % 3 else 'acquired'}{max(1, int(rng.normal(g, 1.5)))}v{rng.integers(12)}" for _ in range(80)]
+        every = 10 if d % 2 else 40  # words in a sentence
+        docs.append((d, " ".join(w + "." * (i % every == every - 1) for i, w in enumerate(text))))
+        labels.append((d, "r1", g, None))
+    docs += [(400, None), (401, ""), (402, "unknownword " * 80)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels[:300], "doc_id long, rater string, reading_grade int, rated_ts timestamp").write.parquet(f"{tmp_path}/labels.parquet")
+    seen = watched(monkeypatch, "demanding")
+    found = {r["doc_id"] for r in queries.p8_found(spark, str(tmp_path)).collect()}
+    assert found == {d for d in range(400) if d % 6 == 0} | {402}  # long words in long sentences; 402 without a known word, hence without a level
+
+    level = {r["doc_id"]: r["level"] for r in seen[0].collect()}
+    assert len(level) == len(docs) and {d for d, x in level.items() if x is None} == {400, 401, 402}
+    assert np.mean([abs(level[d] - labels[d][2]) for d in range(300, 400)]) < 1.2

@@ -12,7 +12,7 @@ from textloom.llm.formatting_duplicates import copies, record_tuples
 from textloom.llm.leakage import leaked_items, leaks
 from textloom.llm.near_duplicates import near_duplicate_groups, near_duplicates, similar_pairs
 from textloom.llm.oracles import SQL  # noqa: F401
-from textloom.llm.reading_level import demanding, reading_levels, surface
+from textloom.llm.reading_level import demanding, reading_levels
 from textloom.llm.repetition import language, repetition, repetitive
 from textloom.llm.shared_spans import shared_spans
 from textloom.llm.source_mixing import mix, with_tokens
@@ -106,7 +106,8 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return demanding(surface(table(spark, sf_dir, "documents"))).select("doc_id")
+    """The documents of ``p8_reading_level`` with long sentences and many long words; these decide, the level doesn't."""
+    return demanding(p8_reading_level(spark, sf_dir)).select("doc_id")
 
 
 def p8_reading_level(spark: SparkSession, sf_dir: str) -> DataFrame:

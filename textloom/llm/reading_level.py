@@ -10,7 +10,7 @@ written there; the README has figures.
 
 The fit takes at most ``FIT_DOCS`` labelled documents, chosen by the hash of their id; everything else covers
 all documents and whole texts. The operator also gives the surface measures of a text: words, sentences and long words. What is asked of these alone
-(``demanding``) can't be had from a level and needs no fit (``surface``).
+(``demanding``) can't be had from a level and needs no fit (``surface``); the queries predict the level all the same.
 
 Defined results: every row gives one row; null and empty texts have no words, no sentences and no level; a document
 without known words, or a table without usable labels, has the level null; stray grades (outside 1 to 20) and
